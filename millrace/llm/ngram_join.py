@@ -247,29 +247,50 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of rows (bucket, block, side, id, size, bits, spare, comp), which come sorted by bucket and block."""
     kind = rows.schema["id"].dataType.simpleString()
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+    def small(starts: np.ndarray, n: int, arrays: tuple) -> Iterator[np.ndarray]:
+        """Pairs within groups of n rows each, for many groups at once: a tree of one leaf."""
+        size, bits, spare, comp, side = arrays
+        u, v = np.triu_indices(n, 1)
+        step = max(1, 200_000 // len(u))
+        for at in range(0, len(starts), step):
+            first = starts[at : at + step, None]
+            i, j = (first + u).ravel(), (first + v).ravel()
+            on = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j]))
+            i, j = i[on], j[on]
+            ok = fits(size[i], size[j], bits[i], bits[j], spare[i], spare[j], percent)
+            yield np.stack([i[ok], j[ok]], 1)
+
+    def groups(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         size, spare, side = (pdf[c].to_numpy("i8") for c in ("size", "spare", "side"))
         comp = pd.factorize(pdf["comp"])[0]
         bits = np.frombuffer(b"".join(pdf["bits"]), "u8").reshape(len(pdf), BITS // 64)
-        pairs = tree_join(size, bits, spare, comp, side if side.min() >= 0 else None, percent)
+        found = [np.zeros((0, 2), "i8")]
+        n = ends - starts
+        for k in np.unique(n[(n > 1) & (n <= LEAF)]):
+            found += small(starts[n == k], int(k), (size, bits, spare, comp, side))
+        for s, e in zip(starts[n > LEAF], ends[n > LEAF], strict=True):
+            part = slice(s, e)
+            found.append(s + tree_join(size[part], bits[part], spare[part], comp[part], side[part] if side[s:e].min() >= 0 else None, percent))
+        pairs = np.concatenate(found)
         ids = pdf["id"].to_numpy()
         u, v = ids[pairs[:, 0]], ids[pairs[:, 1]]
-        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in batches:
             if rest is not None and len(rest):
                 pdf = pd.concat([rest, pdf], ignore_index=True)
-            tag = pdf["bucket"].to_numpy(), pdf["block"].to_numpy()
-            edge = np.flatnonzero((tag[0][1:] != tag[0][:-1]) | (tag[1][1:] != tag[1][:-1])) + 1
+            if not len(pdf):
+                continue
+            bucket, block = pdf["bucket"].to_numpy(), pdf["block"].to_numpy()
+            edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1
             starts = np.concatenate([[0], edge])
-            done = [group(pdf.iloc[s:e]) for s, e in zip(starts[:-1], starts[1:], strict=True)]
+            if len(edge):
+                yield groups(pdf, starts[:-1], edge)
             rest = pdf.iloc[starts[-1] :]
-            if done:
-                yield pd.concat(done, ignore_index=True).drop_duplicates()
         if rest is not None and len(rest):
-            yield group(rest)
+            yield groups(rest.reset_index(drop=True), np.zeros(1, "i8"), np.array([len(rest)]))
 
     return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInPandas(run, f"a {kind}, b {kind}")
 
