@@ -35,13 +35,18 @@ def pieces(item: str, rate: float = RATE) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def myers(pattern: str, text: str) -> tuple[int, int]:
-    """Least edit distance of ``pattern`` to a passage of ``text``, and the passage's end."""
-    m = len(pattern)
-    mask, top = (1 << m) - 1, 1 << (m - 1)
+def masks(pattern: str) -> dict[str, int]:
     eq: dict[str, int] = {}
     for i, c in enumerate(pattern):
         eq[c] = eq.get(c, 0) | 1 << i
+    return eq
+
+
+def myers(pattern: str, text: str, eq: dict[str, int] | None = None, enough: int = 0) -> tuple[int, int]:
+    """Least edit distance of ``pattern`` to a passage of ``text``, and the passage's end; stops at ``enough``."""
+    m = len(pattern)
+    mask, top = (1 << m) - 1, 1 << (m - 1)
+    eq = masks(pattern) if eq is None else eq
     pv, mv, score, best, end = mask, 0, m, m, 0
     get = eq.get
     for j, c in enumerate(text, 1):
@@ -61,7 +66,7 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
         mv = ph & xv
         if score < best:
             best, end = score, j
-            if not best:
+            if best <= enough:
                 break
     return best, end
 
@@ -71,10 +76,12 @@ class Matcher:
         import ahocorasick
 
         self.items, self.rate, self.seen = items, rate, {}
-        places: dict[str, list[tuple[int, int]]] = {}
+        self.edges = [[a for a, _ in pieces(text, rate)] + [len(text)] for _, text in items]
+        self.masks: dict[tuple[int, int, int], dict[str, int]] = {}
+        places: dict[str, list[tuple[int, int, int]]] = {}
         for n, (_, text) in enumerate(items):
-            for offset, piece in pieces(text, rate):
-                places.setdefault(piece, []).append((n, offset))
+            for k, (offset, piece) in enumerate(pieces(text, rate)):
+                places.setdefault(piece, []).append((n, k, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -89,16 +96,36 @@ class Matcher:
             self.seen[key] = myers(self.items[n][1], window)
         return self.seen[key]
 
+    def _ranges_hold(self, n: int, piece: int, start: int, text: str) -> bool:
+        """Whether every range of pieces around the hit, but for the whole item, is within its own budget."""
+        edges, item = self.edges[n], self.items[n][1]
+        a, b, path = 0, len(edges) - 1, []
+        while b - a > 1:
+            path.append((a, b))
+            middle = (a + b) // 2
+            a, b = (a, middle) if piece < middle else (middle, b)
+        for a, b in reversed(path[1:]):
+            key, budget = (n, a, b), b - a - 1
+            pattern = item[edges[a] : edges[b]]
+            if key not in self.masks:
+                self.masks[key] = masks(pattern)
+            window = text[max(0, start + edges[a] - budget) : max(0, start + edges[b] + budget)]
+            if myers(pattern, window, self.masks[key], budget)[0] > budget:
+                return False
+        return True
+
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item id, distance, end in the folded text): the nearest passage of each item that is within its budget."""
         t = fold(text)
         windows: dict[int, list[list[int]]] = {}
         if t and self.items:
             for end, (length, where) in self.automaton.iter(t):
-                for n, offset in where:
+                for n, k, offset in where:
                     m = len(self.items[n][1])
                     budget = int(m * self.rate)
                     start = end - length + 1 - offset
+                    if not self._ranges_hold(n, k, start, t):
+                        continue
                     lo, hi = max(0, start - budget), min(len(t), start + m + budget)
                     own = windows.setdefault(n, [])
                     # Hits come by their end; a window that touches the last one of the item extends it.
