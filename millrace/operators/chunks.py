@@ -50,7 +50,7 @@ def chunk_changes(changes: DataFrame, key: str = "review_id", max_chars: int = 4
     text = (lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")) if merge else (lambda x: x)
     g = g.withColumn("diff_content", F.array_join(F.filter(F.transform("_i", lambda x: text(x["diff_content"])), lambda x: (x != "") | F.lit(not merge)), "\n\n"))
     for c in ("added_lines", "removed_lines"):
-        g = g.withColumn(c, F.flatten(F.transform("_i", lambda x, c=c: x[c])))
+        g = g.withColumn(c, F.flatten(F.col(f"_i.{c}")))
     g = g.withColumn("char_count", F.length("diff_content")).withColumn("estimated_tokens", T.tokens(F.col("char_count")))
     return g.withColumn("chunk_id", T.chunk_id(F.col("file_path"), F.col("scope"), F.col("old_start"), F.col("new_start"))).drop("_i")
 

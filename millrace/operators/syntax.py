@@ -100,7 +100,6 @@ def units(sources: DataFrame, path_col: str = "path", text_col: str = "source",
     return python.unionByName(blocks, allowMissingColumns=True)
 
 
-@F.pandas_udf("struct<valid:boolean,error:string,line:int,col:int,nodes:int>")
 def _check(code: pd.Series, python: pd.Series) -> pd.DataFrame:
     rows = []
     for text, on in zip(code, python, strict=True):
@@ -125,4 +124,4 @@ def _check(code: pd.Series, python: pd.Series) -> pd.DataFrame:
 
 def check_syntax(code: Column, path: Column) -> Column:
     """struct<valid, error, line, col, nodes>; a failed text is tried dedented; other languages are valid."""
-    return _check(code, T.is_python(path))
+    return F.pandas_udf(_check, "struct<valid:boolean,error:string,line:int,col:int,nodes:int>")(code, T.is_python(path))

@@ -1,5 +1,6 @@
-"""Registered queries over the star-schema tables, and their SQL."""
+"""Registered queries over the driver's tables, and their SQL."""
 
+from millrace.plans import event_queries, fixture_queries, text_queries, vector_queries
 from millrace.plans.catalog import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["ORACLE_SQL", "QUERIES", "event_queries", "fixture_queries", "text_queries", "vector_queries"]
