@@ -32,7 +32,7 @@ def is_diff_payload(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines as universal line ends give them, without a last empty piece."""
-    pieces = F.split(F.coalesce(text, F.lit("")), "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", -1)
+    pieces = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", -1)
     return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
 
 
@@ -138,7 +138,7 @@ def retrieval_query(name: Column, path: Column, added: Column, summary: Column)
     """Name, file stem unless generic, first three code lines added, summary; at most 400 characters."""
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
     stem = F.when(~stem.isin("__init__", "utils", "main", "service", "model"), stem)
-    code = F.filter(F.transform(added, F.trim), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith('"""'))
+    code = F.filter(F.transform(added, lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith('"""'))
     first = F.nullif(F.array_join(F.slice(code, 1, 3), " "), F.lit(""))
     return F.substring(F.trim(F.concat_ws(" ", name, stem, first, F.nullif(summary, F.lit("")))), 1, 400)
 
@@ -169,9 +169,10 @@ def unit_summary(kind: Column, name: Column, parent: Column, docstring: Column,
 
 def clean_json(text: Column) -> Column:
     """The text if it is JSON, else what its fence holds, else its outermost object or array, else itself."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    t = strip(F.coalesce(text, F.lit("")))
     ok = lambda c: F.try_parse_json(c).isNotNull()
-    fenced = F.trim(F.regexp_extract(t, r"(?s)^```[^\n]*\n(.*)```$", 1))
+    fenced = strip(F.regexp_extract(t, r"(?s)^```[^\n]*\n(.*)```$", 1))
     inner = F.when(t.rlike(r"(?s)^```[^\n]*\n.*```$"), fenced).otherwise(t)
     brace, bracket = F.instr(inner, "{"), F.instr(inner, "[")
     as_object = (brace > 0) & ((bracket == 0) | (brace < bracket))

@@ -26,7 +26,7 @@ def scan_sources(spark: SparkSession, root: str, extensions: tuple[str, ...] = t
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     below = F.substring_index(F.col("path"), f"{base}/", -1)
     rows = files.where(F.col("length") <= most_bytes).withColumn("_p", below).where(~skipped(F.col("_p")))
-    return rows.select(F.col("_p").alias("path"), F.decode("content", F.lit("UTF-8")).alias("source"))
+    return rows.select(F.col("_p").alias("path"), F.decode("content", "UTF-8").alias("source"))
 
 
 def from_map(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
@@ -60,7 +60,7 @@ def tree_files(answers: DataFrame, json_col: str = "body") -> DataFrame:
 def decoded(answers: DataFrame, json_col: str = "body") -> DataFrame:
     """path and source of content answers, whose text is base64 with line ends."""
     a = answers.select(F.from_json(json_col, "path string, content string").alias("a"))
-    return a.select("a.path", F.decode(F.unbase64(F.regexp_replace("a.content", r"\s", "")), F.lit("UTF-8")).alias("source"))
+    return a.select("a.path", F.decode(F.unbase64(F.regexp_replace("a.content", r"\s", "")), "UTF-8").alias("source"))
 
 
 class GitDiff(DataSource):
