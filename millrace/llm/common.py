@@ -49,6 +49,21 @@ def fingerprint(*cols: Column | str) -> Column:
     return F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
 
 
+#: Rows, at most, of a bitmap that is broadcast; each has 64 bits.
+BITMAP_WORDS = 1 << 18
+
+
+def in_bitmap(rows: DataFrame, by: str, wanted: DataFrame, hashes: str) -> DataFrame:
+    """The rows whose hash ``by`` may be among ``hashes`` of ``wanted``: a bitmap of at most BITMAP_WORDS rows is broadcast.
+
+    A filter before a shuffle only: what passes by chance is left to the join that follows, and a full bitmap lets all pass.
+    """
+    slot = lambda c: F.pmod(F.shiftright(c, 6), F.lit(BITMAP_WORDS))
+    bitmap = wanted.groupBy(slot(F.col(hashes)).alias("_slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({hashes} & 63L as int))")).alias("_bits"))
+    rows = rows.withColumn("_slot", slot(F.col(by))).join(F.broadcast(bitmap), "_slot")
+    return rows.where(F.expr(f"shiftrightunsigned(_bits, cast({by} & 63L as int)) & 1L") == 1).drop("_slot", "_bits")
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 64) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, cut
+from millrace.llm.common import connected_components, cut, in_bitmap
 
 WORDS, PERCENT = 4, 85
 COUNTS = 1 << 20  # entries of the table of word counts: 4 MB, whatever the input
@@ -144,10 +144,6 @@ def signatures(docs: DataFrame, id_col: str, text: str, n: int, percent: int) ->
     return rows.mapInPandas(sign, f"id {kind}, size long, set_key string, prefix array<long>, bits binary, spare long")
 
 
-def near_sizes(a: str, b: str, percent: int):
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
-
-
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link. Texts of the documents in pairs only are moved."""
 
@@ -302,12 +298,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = signed.where("size > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     reps = cut(reps.select("id", "size", "prefix", "bits", "spare"))
 
-    rows = reps.select(F.explode("prefix").alias("bucket"), "id", "size")
-    heads = rows.groupBy("bucket").agg(F.min(F.struct("id", "size")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = cut(heads.select("bucket", F.col("head.id").alias("head"), F.col("head.size").alias("head_size"), "n"))
-    members = cut(rows.join(heads, "bucket"))
+    rows = reps.select(F.explode("prefix").alias("bucket"), "id")
+    heads = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("head <> last")
+    heads = cut(heads.select("bucket", "head", "n"))
+    members = cut(in_bitmap(rows, "bucket", heads, "bucket").join(heads, "bucket"))
 
-    star = members.where(near_sizes("size", "head_size", percent) & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    star = members.where(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     edges = cut(verify(prune(star, reps, percent), docs, id_col, text_col, words, percent))
 
     comps = cut(connected_components(edges, "a", "b"))
