@@ -88,11 +88,15 @@ def entropy_hits(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", all_kinds: bool = False) -> DataFrame:
     """id, text with placeholders, n_secrets, highest. The spans of a line's winning kind are replaced; with ``all_kinds`` all are."""
-    hits = detect(docs, id_col, text_col)
-    winners = best_per_line(hits, id_col)
-    spans = hits if all_kinds else hits.join(winners.select(id_col, "line", "kind"), [id_col, "line", "kind"], "left_semi")
-    best = winners.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_secrets"), F.max_by("severity", lookup(SECRET_RANK, F.col("severity"), 1)).alias("highest"))
-    by_doc = spans.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "placeholder")), asc=False).alias("_spans"))
-    out = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(by_doc, id_col, "left").join(best, id_col, "left")
+    rank = lookup(SECRET_RANK, F.col("severity"), 1)
+    w = Window.partitionBy(id_col, "line").orderBy(rank.desc(), "start", "rule")
+    hits = detect(docs, id_col, text_col).withColumn("_n", F.row_number().over(w)).withColumn("_kind", F.first("kind").over(w))
+    span = F.struct("start", "stop", "placeholder")
+    # One pass over the texts gives winners and spans; only hits are shuffled.
+    found = hits.groupBy(id_col).agg(
+        F.sort_array(F.collect_list(span if all_kinds else F.when(F.col("kind") == F.col("_kind"), span)), asc=False).alias("_spans"),
+        F.count_if(F.col("_n") == 1).alias("n_secrets"), F.max_by("severity", F.when(F.col("_n") == 1, rank)).alias("highest"),
+    )
+    out = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(found, id_col, "left")
     fold = F.aggregate("_spans", F.col(text_col), lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"]), s["placeholder"], F.substr(t, s["stop"] + 1)))
     return out.select(id_col, F.coalesce(fold, F.col(text_col)).alias("sanitized"), F.coalesce("n_secrets", F.lit(0)).alias("n_secrets"), "highest")
