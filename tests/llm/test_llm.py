@@ -281,6 +281,27 @@ def test_lines_edges(spark):
     assert sorted(r.n_dropped for r in line_dedup.digest(docs(spark, [long, long + " tail", "the " * 20_000])).collect()) == [0, 0, 1]
 
 
+def _misspelt(rng, line, n):
+    out = line.split()
+    for k in rng.sample(range(len(out)), n):
+        at = rng.randrange(len(out[k]))
+        out[k] = out[k][:at] + rng.choice("QXZ").lower() + out[k][at + 1 :]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("cases", [[(6, 1), (8, 1), (10, 1), (30, 3), (30, 5), (60, 10)]])
+def test_lines_with_misspelt_words_meet(spark, cases):
+    rng, lines = random.Random(11), []
+    for n, typos in cases:
+        for _ in range(30):
+            line = " ".join(words(rng, n, 900))
+            lines.append((n, typos, line, _misspelt(rng, line, typos)))
+    out = {r.doc_id: r.n_dropped for r in line_dedup.digest(docs(spark, [x for row in lines for x in row[2:]])).collect()}
+    for n, typos in cases:
+        found = [out[2 * k + 1] for k, row in enumerate(lines) if row[:2] == (n, typos)]
+        assert sum(found) >= 0.95 * len(found), (n, typos)
+
+
 # 6: packing
 
 
