@@ -289,7 +289,7 @@ def _misspelt(rng, line, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("cases", [[(6, 1), (8, 1), (10, 1), (30, 3), (30, 5), (60, 10)]])
+@pytest.mark.parametrize("cases", [[(6, 1), (8, 1), (10, 1), (30, 3), (30, 5), (60, 10)], [(90, 30)]])
 def test_lines_with_misspelt_words_meet(spark, cases):
     rng, lines = random.Random(11), []
     for n, typos in cases:
