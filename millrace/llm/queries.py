@@ -31,7 +31,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(table(spark, sf_dir, "documents"))
+    return line_dedup.digest(table(spark, sf_dir, "documents"), short_copies=True)
 
 
 def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,6 +281,13 @@ def test_lines_edges(spark):
     assert sorted(r.n_dropped for r in line_dedup.digest(docs(spark, [long, long + " tail", "the " * 20_000])).collect()) == [0, 0, 1]
 
 
+def test_short_copies_go_in_the_query(spark, tmp_path):
+    texts = ["Les.\nunspacedscript", "les. \n\nUnspacedScript", "\nmore Les.", "one two three four\nles."]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r.dropped for r in queries.QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    assert out == {0: [], 1: [0, 2], 2: [], 3: [1]}
+
+
 def _misspelt(rng, line, n):
     out = line.split()
     for k in rng.sample(range(len(out)), n):
