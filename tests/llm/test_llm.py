@@ -288,6 +288,15 @@ def test_short_copies_go_in_the_query(spark, tmp_path):
     assert out == {0: [], 1: [0, 2], 2: [], 3: [1]}
 
 
+def test_lines_of_thousands_of_words_meet(spark):
+    rng = random.Random(12)
+    texts = []
+    for n in (5_995, 11_990):
+        line = " ".join(f"{rng.randrange(10**6):06d}" for _ in range(n))
+        texts += [line, line + " ten more words than this one had at the end"]
+    assert [r.n_dropped for r in line_dedup.digest(docs(spark, texts)).orderBy("doc_id").collect()] == [0, 1, 0, 1]
+
+
 def _misspelt(rng, line, n):
     out = line.split()
     for k in rng.sample(range(len(out)), n):
