@@ -6,8 +6,10 @@ the products of a word's vector with all filters are computed once per distinct
 a look-up and additions a word.
 
 The sample that the model is fitted on is bounded: at most ``SAMPLE`` labelled rows of each class, of texts of at most
-``SAMPLE_CHARS`` characters, the first by a hash of the id, and never a held-out row. A quarter of it is kept from training and
-sets the level that maps to a score of 0.5, and a threshold for each language. Language moves the threshold only, never the score.
+``SAMPLE_CHARS`` characters, the first by a hash of the id, and never a held-out row. A quarter of it is kept from training. All
+labelled rows that are neither held out nor trained on, of any length, are then scored by the executors, and histograms of their
+logits set the level that maps to a score of 0.5, and a threshold for each language. A language without rows of both classes takes
+0.5; if those rows together lack a class, the trained rows count as well. Language moves the threshold only, never the score.
 
 Null and empty texts get the score of a text without words. Labels that are null are ignored; of several labels of one id the
 largest holds. Without labels of both classes every score is 0. Rows repeat as they come; other columns are not read.
@@ -24,11 +26,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import in_bitmap
+
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
 EPOCHS, RATE, SEED = 12, 0.15, 7
 TABLE_ROWS = 200_000
 SLICE = 8192
+#: Bins of a unit of the logit; logits are cut to +-40.
+BINS = 50
 OFFSETS = np.cumsum([0, *WIDTHS])
 
 
@@ -166,12 +172,10 @@ class Scorer:
         return self.model.logit(best)
 
 
-def _best_level(logits: np.ndarray, y: np.ndarray) -> float:
-    """The level between two neighbouring logits with the fewest weighted errors; ties take the middle of the widest."""
-    order = np.argsort(logits)
-    z, t = logits[order], y[order]
-    missed = np.concatenate([[0], np.cumsum(t)])  # positives below the level
-    raised = (1 - t).sum() - np.concatenate([[0], np.cumsum(1 - t)])  # negatives above it
+def _best_level(z: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float:
+    """The level between two neighbours of the ascending ``z`` with the fewest errors; ties take the middle of the widest."""
+    missed = np.concatenate([[0], np.cumsum(pos)])  # positives below the level
+    raised = neg.sum() - np.concatenate([[0], np.cumsum(neg)])  # negatives above it
     edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
     wide = np.concatenate([[1], z[1:] - z[:-1], [1]])
     cost = missed + raised
@@ -184,7 +188,7 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
-    """The bounded sample is gathered, fitted and calibrated on the driver. None without rows of both classes."""
+    """The bounded sample is fitted on the driver, all other labelled rows calibrate. None without rows of both classes."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     key = F.xxhash64(id_col)
     picked = known.where("_y > 0").orderBy(key, id_col).limit(sample).unionByName(known.where("_y <= 0").orderBy(key, id_col).limit(sample))
@@ -196,22 +200,42 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(set(y)) < 2:
         return None
     check = np.arange(len(rows)) % 4 == 3
-    if len(set(y[check])) < 2 or len(set(y[~check])) < 2 or y.sum() < 80:
-        check = np.zeros(len(rows), bool)  # too few positives to spare any
+    if len(set(y[~check])) < 2:
+        check = np.zeros(len(rows), bool)
     model = fit([r[1] for r, c in zip(rows, check, strict=True) if not c], list(y[~check]))
-    on = np.flatnonzero(check) if check.any() else np.arange(len(rows))
-    scorer = Scorer(model)
-    logits = np.array([scorer.logit(rows[i][1]) for i in on])
-    level = _best_level(logits, y[on])
+    trained = docs.sparkSession.createDataFrame([(rows[i][0],) for i in np.flatnonzero(~check)], docs.select(F.col(id_col).alias("_id")).schema)
+    every = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    for used in (every.join(F.broadcast(trained), "_id", "left_anti"), every):
+        found = _histogram(used, known.select(F.col(id_col).alias("_id"), "_y"), model)
+        if found["pos"].any() and found["neg"].any():
+            break
+    at = lambda h: _best_level(*(h.groupby("bin")[["pos", "neg"]].sum().reset_index()[c].to_numpy("f8") for c in ("bin", "pos", "neg"))) / BINS
+    level = at(found)
     model.shift -= level
-    for lang in sorted({str(rows[i][2]) for i in on}):
-        own = np.array([str(rows[i][2]) == lang for i in on])
-        enough = 20 <= y[on][own].sum() < own.sum() - 20
-        own_level = _best_level(logits[own], y[on][own]) if enough else level
-        model.thresholds[lang] = float(1 / (1 + np.exp(-(own_level - level))))
+    for lang, own in found.groupby("lang"):
+        both = own["pos"].any() and own["neg"].any()
+        model.thresholds[lang] = float(1 / (1 + np.exp(-((at(own) if both else level) - level))))
     return model
 
 
+def _histogram(rows: DataFrame, known: DataFrame, model: Model) -> pd.DataFrame:
+    """lang, bin, pos, neg: labelled rows by bins of the logit. Only scores are shuffled, never texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("long")
+    def binned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            yield pd.Series(np.rint(np.clip(np.array([scorer.logit(t) for t in texts], "f8"), -40, 40) * BINS).astype("i8"))
+
+    # A filter before the scoring; what passes by chance is left to the join.
+    known = known.withColumn("_h", F.xxhash64("_id"))
+    likely = in_bitmap(rows.withColumn("_h", F.xxhash64("_id")), "_h", known, "_h")
+    scored = likely.select("_id", F.col("_lang").cast("string").alias("lang"), binned("_text").alias("bin"))
+    counts = scored.join(known.drop("_h"), "_id").groupBy("lang", "bin").agg(F.count(F.when(F.col("_y") > 0, 1)).alias("pos"), F.count(F.when(F.col("_y") <= 0, 1)).alias("neg"))
+    return pd.DataFrame([tuple(r) for r in counts.collect()], columns=["lang", "bin", "pos", "neg"])
+
+
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:
     if model is None:
         return F.lit(0.0)
@@ -228,7 +252,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> Colum
 
 
 def rejects(model: Model | None, score_col: str = "score", lang_col: str = "lang") -> Column:
-    """True where the score reaches the threshold of the row's language, 0.5 for a language that the sample hasn't."""
+    """True where the score reaches the threshold of the row's language, 0.5 for a language without labelled rows."""
     found = F.lit(0.5)
     for lang, t in sorted(model.thresholds.items() if model else ()):
         found = F.when(F.col(lang_col) == lang, F.lit(t)).otherwise(found)

@@ -211,6 +211,22 @@ def test_toxicity_learns_from_rows_that_are_not_held_out(spark):
     assert out.score.between(0, 1).all() and out.score[500] == out.score[501] and ((out.score >= 0.5) == (out.predicted == 1)).all()
 
 
+def test_toxicity_calibrates_on_all_rows_that_are_not_trained_on(spark, monkeypatch):
+    seen = []
+    count = toxicity._histogram
+    monkeypatch.setattr(toxicity, "_histogram", lambda *a: seen.append(count(*a)) or seen[-1])
+    rng, texts = random.Random(9), []
+    for n in range(300):
+        w = words(rng, 12) * (1 if n % 10 else 500)
+        texts.append(" ".join([*w, "vilex"] if n % 3 == 0 else w))
+    d = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") < 30, "de").otherwise("en"))
+    model = toxicity.train(d, spark.createDataFrame([(n, int(n % 3 == 0)) for n in range(300)], "doc_id long, toxic int"), sample=40)
+    usable = sum(zlib.crc32(str(n).encode()) % 5 != 0 for n in range(300))
+    # At most 80 rows are sampled, a quarter of these or so aren't trained on; long texts aren't sampled at all.
+    assert usable - 62 <= seen[0][["pos", "neg"]].sum().sum() < usable
+    assert len(seen) == 1 and set(model.thresholds) == {"de", "en"}
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.digest(docs(spark, ["a", None]), none).collect()} == {0.0}
