@@ -3,22 +3,24 @@
 Documents link when the Jaccard similarity of their sets of word n-grams reaches a percentage. The result gives each document
 its set's size and the smallest id that it reaches by links.
 
-1. Documents with equal sets are one class, and its smallest id stands for it.
-2. A set is dealt out by its prefix in a common order: sets that link share one of the first ``n - ceil(t n) + 1`` members. The
-   order puts rare words first, by a table of word counts of fixed size over all documents, so a passage that many documents
-   share comes last. Any order is exact; counts only decide how much is compared.
-3. In each bucket (documents that share a prefix member) all are compared with the bucket's smallest id, and these links are
-   connected. A group of many near copies is settled here with one comparison a member and bucket.
-4. Buckets in which more than one component is left are joined by signature trees: leaves hold documents ordered by size, nodes
-   hold the OR of their bitmaps and their range of sizes, and a dual traversal drops pairs of nodes whose largest possible
-   overlap, or whose sizes, cannot reach the percentage, or which are one component. A large bucket is cut into blocks, and pairs of blocks are
-   tasks of their own.
-5. What the bitmaps leave is verified on the whole sets, in integers.
+1. Documents with equal sets are one class, a node of the link graph.
+2. Trees can't span all documents, so a prefix deals them out: sets that link share one of the first ``n - ceil(t n) + 1`` members
+   in a common order. The order puts rare words first, by a table of word counts of fixed size over all documents, so a passage
+   that many documents share comes last. Any order is exact; counts only decide how much is compared. Nodes that share a prefix
+   member are a bucket, cut into blocks of bounded size.
+3. In a block, nodes are ordered by size and become the leaves of a signature tree: each tree node holds the OR of the token
+   bitmaps below it and their range of sizes. A dual traversal from the roots drops pairs of tree nodes whose largest possible
+   overlap, or whose sizes, cannot reach the percentage, or which are one component. All trees of a batch descend together.
+4. The trees run twice. First each block by itself, with the bucket's smallest node as a guest: every node proposes its best partner, proposals
+   are verified on the whole sets, in integers, and connected. So a group of many copies is settled by one comparison a node
+   and bucket. Then each bucket that still holds two components: trees of pairs of blocks, in which all that the bitmaps leave
+   between different components is verified. The second run alone gives the same result.
 
 So any two linked documents end in one component: they share a bucket, and there they either are connected already or compared.
 
 Null and empty texts have an empty set and link with nothing; texts of fewer words than n have one member, all their words.
-Repeated ids are one node. A row with a null id keeps its size and has no component. Other columns are not read.
+Rows with equal ids are one document: their sets, where they differ, are linked to each other. A row with a null id keeps its
+size and has no component. Ids never pass through floating point. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +38,12 @@ from pyspark.sql import functions as F
 from millrace.llm.common import connected_components, cut, in_bitmap
 
 WORDS, PERCENT = 4, 85
-COUNTS = 1 << 20  # entries of the table of word counts: 4 MB, whatever the input
+COUNTS = 1 << 18  # entries of the table of word counts: 1 MB, whatever the input
 BITS = 2048
 LEAF, FAN = 16, 8
 BLOCK = 2048
 HASHES = 300_000  # entries of a worker's table of word hashes
+PAIRS = 50_000  # pairs of bitmaps that are compared at once
 
 
 class WordHashes(dict):
@@ -78,49 +82,37 @@ def distinct_shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarra
 
 
 def word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """How often words occur, by hash, over all documents. Tasks send tables of one size, added up in a tree."""
+    """How often words occur, by hash, over all documents: (slot, count) by task, then added up. At most COUNTS rows are collected."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(COUNTS, "u4")
-        for pdf in batches:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTS, "i8")
+        for batch in batches:
             found: Counter = Counter()
-            for t in pdf["t"]:
+            for t in batch.column(0).to_pylist():
                 found.update((t or "").encode("utf-8", "surrogatepass").lower().split())
             at = np.fromiter((xxhash.xxh64_intdigest(w) & (COUNTS - 1) for w in found), "i8", len(found))
-            # A table saturates instead of wrapping round.
-            total = np.minimum(total + np.bincount(at, np.fromiter(found.values(), "f8", len(found)), COUNTS), 2**31).astype("u4")
-        yield pd.DataFrame({"counts": [total.tobytes()]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(COUNTS, "u8")
-        for pdf in batches:
-            for c in pdf["counts"]:
-                total += np.frombuffer(c, "u4")
-        yield pd.DataFrame({"counts": [np.minimum(total, 2**31).astype("u4").tobytes()]})
+            np.add.at(total, at, np.fromiter(found.values(), "i8", len(found)))
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(slots, pa.int32()), "n": pa.array(total[slots], pa.int64())})
 
-    tables = docs.select(F.col(text).alias("t")).mapInPandas(count, "counts binary")
-    n = tables.rdd.getNumPartitions()
-    while n > 8:
-        n = max(1, n // 16)
-        tables = tables.repartition(n).mapInPandas(add, "counts binary")
-    total = np.zeros(COUNTS, "u8")
-    for row in tables.collect():  # at most 8 tables of fixed size
-        total += np.frombuffer(row[0], "u4")
-    return np.minimum(total, 2**31).astype("u4")
+    found = docs.select(F.col(text).alias("t")).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(COUNTS, "f8")
+    total[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return total
 
 
 def signatures(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> DataFrame:
-    """id, size, set_key, prefix (hashes), bits, spare (members beyond one a bit)."""
-    counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs, text))
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        rare = np.log2(counts.value.astype("f4") + 1).astype("u8") * np.uint64(4)  # quarters of a power of two are not needed
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
+    """id, h (hash of the text), size, set_key, prefix (hashes), bits, spare (members beyond one a bit): one row per row."""
+    rarity = np.log2(word_counts(docs, text) + 1).astype("u8") * np.uint64(4)
+    shared = docs.sparkSession.sparkContext.broadcast(rarity.astype("u1"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, rare = WordHashes(), shared.value.astype("u8")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 out = []
-                for t in part["t"]:
+                for t in part.column("t").to_pylist():
                     words = hashes.of(t)
                     h, span = shingles(words, n)
                     if not span:
@@ -135,17 +127,18 @@ def signatures(docs: DataFrame, id_col: str, text: str, n: int, percent: int) ->
                     keep = size - (percent * size + 99) // 100 + 1
                     bits = np.zeros(BITS, bool)
                     bits[((h >> np.uint64(8)) % np.uint64(BITS)).astype("i8")] = True
-                    out.append((size, xxhash.xxh3_128_hexdigest(ordered.tobytes()), ordered[:keep].view("i8"), np.packbits(bits).tobytes(), size - int(bits.sum())))
+                    out.append((size, xxhash.xxh3_128_digest(ordered.tobytes()), ordered[:keep].view("i8"), np.packbits(bits).tobytes(), size - int(bits.sum())))
                 size, key, prefix, bits, spare = zip(*out, strict=True)
-                yield pd.DataFrame({"id": part["id"].array, "size": size, "set_key": key, "prefix": prefix, "bits": bits, "spare": spare})
+                columns = [part.column("id"), part.column("h"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(spare, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "size", "set_key", "prefix", "bits", "spare"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
-    return rows.mapInPandas(sign, f"id {kind}, size long, set_key string, prefix array<long>, bits binary, spare long")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    return rows.mapInArrow(sign, f"id {kind}, h long, size long, set_key binary, prefix array<long>, bits binary, spare long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Texts of the documents in pairs only are moved."""
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets link. Only texts of nodes (node, id, h) in pairs are moved."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, last, mine = WordHashes(), None, None
@@ -159,118 +152,111 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, n: int, pe
                 keep.append(100 * both >= percent * (len(mine) + len(other) - both) > 0)
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = cut(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).join(ids, "_id", "left_semi").dropDuplicates(["_id"]))
-    one = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a")
-    two = one.join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b").select("a", "b", "ta", "tb")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return two.mapInPandas(check, f"a {kind}, b {kind}")
-
-
-def fits(size_a, size_b, bits_a, bits_b, spare_a, spare_b, percent: int):
-    """Whether the bitmaps allow the overlap; all arguments broadcast. Members that share a bit make the bound loose by ``spare``."""
-    common = np.bitwise_count(bits_a & bits_b).sum(-1, dtype="i8")
-    most = np.minimum(np.minimum(size_a, size_b), common + np.minimum(spare_a, spare_b))
-    return (most * (100 + percent) >= percent * (size_a + size_b)) & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
-
-
-def tree_join(size: np.ndarray, bits: np.ndarray, spare: np.ndarray, comp: np.ndarray, side: np.ndarray | None, percent: int) -> np.ndarray:
-    """Pairs (i, j) of rows that may link and are in different components; with ``side``, only pairs of side 0 and side 1."""
-
-    def build(rows: np.ndarray):
-        """Levels from the leaves up: (first row, end row, least and largest size, bitmap, spare, one component or -1)."""
-        rows = rows[np.lexsort((comp[rows], size[rows]))]
-        starts = np.arange(0, len(rows), LEAF)
-        ends = np.minimum(starts + LEAF, len(rows))
-        levels = []
-        lo, hi = size[rows[starts]], size[rows[ends - 1]]
-        b = np.bitwise_or.reduceat(bits[rows], starts, axis=0)
-        s = np.maximum.reduceat(spare[rows], starts)
-        first, last = np.minimum.reduceat(comp[rows], starts), np.maximum.reduceat(comp[rows], starts)
-        levels.append((lo, hi, b, s, np.where(first == last, first, -1)))
-        while len(levels[-1][0]) > 1:
-            lo, hi, b, s, c = levels[-1]
-            up = np.arange(0, len(lo), FAN)
-            least, most = np.minimum.reduceat(c, up), np.maximum.reduceat(c, up)
-            levels.append((lo[up], np.maximum.reduceat(hi, up), np.bitwise_or.reduceat(b, up, axis=0), np.maximum.reduceat(s, up), np.where(least == most, least, -1)))
-        return rows, levels
-
-    everything = np.arange(len(size))
-    if side is None:
-        left = right = build(everything)
-    else:
-        left, right = build(everything[side == 0]), build(everything[side == 1])
-    if not len(left[0]) or not len(right[0]):
-        return np.zeros((0, 2), "i8")
-    found = []
-    level = max(len(left[1]), len(right[1])) - 1
-    a, b = np.zeros(1, "i8"), np.zeros(1, "i8")
-    while level >= 0 and len(a):
-        x, y = left[1][min(level, len(left[1]) - 1)], right[1][min(level, len(right[1]) - 1)]
-        keep = np.zeros(len(a), bool)
-        for at in range(0, len(a), 4096):
-            i, j = a[at : at + 4096], b[at : at + 4096]
-            common = np.bitwise_count(x[2][i] & y[2][j]).sum(-1, dtype="i8") + np.minimum(x[3][i], y[3][j])
-            enough = common * (100 + percent) >= percent * (x[0][i] + y[0][j])
-            sizes = (100 * x[1][i] >= percent * y[0][j]) & (100 * y[1][j] >= percent * x[0][i])
-            keep[at : at + 4096] = enough & sizes & ((x[4][i] != y[4][j]) | (x[4][i] < 0))
-        a, b = a[keep], b[keep]
-        if not level:
-            break
-        if level < len(left[1]):
-            n = len(left[1][level - 1][0])
-            a, b = (a[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(b, FAN)
-            a, b = a[a < n], b[a < n]
-        if level < len(right[1]):
-            n = len(right[1][level - 1][0])
-            a, b = np.repeat(a, FAN), (b[:, None] * FAN + np.arange(FAN)).ravel()
-            a, b = a[b < n], b[b < n]
-        if side is None:
-            a, b = a[a <= b], b[a <= b]
-        level -= 1
-    for i, j in zip(a, b, strict=True):
-        r, q = left[0][i * LEAF : i * LEAF + LEAF], right[0][j * LEAF : j * LEAF + LEAF]
-        ok = fits(size[r][:, None], size[q][None], bits[r][:, None], bits[q][None], spare[r][:, None], spare[q][None], percent) & (comp[r][:, None] != comp[q][None])
-        if side is None and i == j:
-            ok = np.triu(ok, 1)
-        u, v = np.nonzero(ok)
-        if len(u):
-            found.append(np.stack([r[u], q[v]], 1))
-    return np.concatenate(found) if found else np.zeros((0, 2), "i8")
-
-
-def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of rows (bucket, block, side, id, size, bits, spare, comp), which come sorted by bucket and block."""
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def small(starts: np.ndarray, n: int, arrays: tuple) -> Iterator[np.ndarray]:
-        """Pairs within groups of n rows each, for many groups at once: a tree of one leaf."""
-        size, bits, spare, comp, side = arrays
-        u, v = np.triu_indices(n, 1)
-        step = max(1, 200_000 // len(u))
-        for at in range(0, len(starts), step):
-            first = starts[at : at + step, None]
-            i, j = (first + u).ravel(), (first + v).ravel()
-            on = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j]))
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("_t"))
+    texts = cut(rows.join(wanted.select("node", "id", "h"), ["id", "h"]).select("node", "_t").dropDuplicates(["node"]))
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("_t").alias("ta")), "a")
+    two = one.join(texts.select(F.col("node").alias("b"), F.col("_t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return two.mapInPandas(check, "a long, b long")
+
+
+def _ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``counts`` things: whose they are, and their number within it from 0."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _across(start_a: np.ndarray, n_a: np.ndarray, start_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of members of each pair of ranges, and the number of the pair of ranges."""
+    owner, k = _ragged(n_a * n_b)
+    return start_a[owner] + k // n_b[owner], start_b[owner] + k % n_b[owner], owner
+
+
+class Level:
+    """Nodes of one height, of all trees: size range, OR of bitmaps, most spare, component (-1: several), children, first node and nodes of each tree."""
+
+    def __init__(self, low, high, bits, spare, comp, child, children, first, count):
+        self.low, self.high, self.bits, self.spare, self.comp = low, high, bits, spare, comp
+        self.child, self.children, self.first, self.count = child, children, first, count
+
+    def above(self, width: int) -> Level:
+        """Its parents: ``width`` neighbours of a tree under one node."""
+        count = -(-self.count // width)
+        tree, k = _ragged(count)
+        child = self.first[tree] + k * width
+        children = np.minimum(width, self.count[tree] - k * width)
+        least, most = np.minimum.reduceat(self.comp, child), np.maximum.reduceat(self.comp, child)
+        return Level(
+            self.low[child], np.maximum.reduceat(self.high, child), np.bitwise_or.reduceat(self.bits, child, axis=0), np.maximum.reduceat(self.spare, child),
+            np.where(least == most, least, -1), child, children, np.cumsum(count) - count, count,
+        )
+
+
+def tree_join(group: np.ndarray, side: np.ndarray, size: np.ndarray, bits: np.ndarray, spare: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, common): rows of one group that may link and are in different components, and the bits that they share.
+
+    Rows of a group are one tree (all of side -1) or two (sides 0 and 1, of which only pairs across are wanted).
+    """
+    order = np.lexsort((comp, size, side, group))
+    group, side = group[order], side[order]
+    starts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]) | (side[1:] != side[:-1])) + 1])
+    count = np.diff(np.append(starts, len(order)))
+    size, bits, spare, comp = size[order], bits[order], spare[order], comp[order]
+    rows = Level(size, size, bits, spare, comp, None, None, starts, count)
+    levels = [rows, rows.above(LEAF)]
+    while levels[-1].count.max() > 1:
+        levels.append(levels[-1].above(FAN))
+    # The roots, one a tree in order: each with itself, or the two of a group with each other.
+    tree_group, tree_side = group[starts], side[starts]
+    alone = np.flatnonzero(tree_side < 0)
+    left = np.flatnonzero((tree_side[:-1] == 0) & (tree_side[1:] == 1) & (tree_group[:-1] == tree_group[1:]))
+    a, b = np.concatenate([alone, left]), np.concatenate([alone, left + 1])
+    same = np.concatenate([np.ones(len(alone), bool), np.zeros(len(left), bool)])
+    for height in range(len(levels) - 1, -1, -1):
+        here = levels[height]
+        keep, shared = np.zeros(len(a), bool), np.zeros(len(a), "i8")
+        for at in range(0, len(a), PAIRS):
+            part = slice(at, at + PAIRS)
+            i, j = a[part], b[part]
+            one = (here.comp[i] == here.comp[j]) & (here.comp[i] >= 0)
+            sizes = (100 * here.high[i] >= percent * here.low[j]) & (100 * here.high[j] >= percent * here.low[i])
+            on = np.flatnonzero(sizes & ~one)
             i, j = i[on], j[on]
-            ok = fits(size[i], size[j], bits[i], bits[j], spare[i], spare[j], percent)
-            yield np.stack([i[ok], j[ok]], 1)
+            common = np.bitwise_count(here.bits[i] & here.bits[j]).sum(-1, dtype="i8")
+            # Members that share a bit make the bound loose by ``spare``; no overlap is larger than the smaller set.
+            most = np.minimum(common + np.minimum(here.spare[i], here.spare[j]), np.minimum(here.high[i], here.high[j]))
+            ok = most * (100 + percent) >= percent * (here.low[i] + here.low[j])
+            keep[at + on[ok]] = True
+            shared[at + on] = common
+        a, b, same = a[keep], b[keep], same[keep]
+        if not height or not len(a):
+            break
+        x, y, owner = _across(here.child[a], here.children[a], here.child[b], here.children[b])
+        same = same[owner]
+        # Within one tree each pair comes once; a row does not meet itself.
+        wanted = ~same | (x < y if height == 1 else x <= y)
+        a, b, same = x[wanted], y[wanted], same[wanted]
+    return order[a], order[b], shared[keep] if len(a) else np.zeros(0, "i8")
+
+
+def _tree_pairs(rows: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidate pairs of rows (bucket, block, side, node, size, bits, spare, comp); with ``best`` each row's best earlier partner only."""
 
-    def groups(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
-        size, spare, side = (pdf[c].to_numpy("i8") for c in ("size", "spare", "side"))
-        comp = pd.factorize(pdf["comp"])[0]
+    def groups(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = pdf.groupby(["bucket", "block"], sort=False).ngroup().to_numpy()
+        size, spare, comp, side, node = (pdf[c].to_numpy("i8") for c in ("size", "spare", "comp", "side", "node"))
         bits = np.frombuffer(b"".join(pdf["bits"]), "u8").reshape(len(pdf), BITS // 64)
-        found = [np.zeros((0, 2), "i8")]
-        n = ends - starts
-        for k in np.unique(n[(n > 1) & (n <= LEAF)]):
-            found += small(starts[n == k], int(k), (size, bits, spare, comp, side))
-        for s, e in zip(starts[n > LEAF], ends[n > LEAF], strict=True):
-            part = slice(s, e)
-            found.append(s + tree_join(size[part], bits[part], spare[part], comp[part], side[part] if side[s:e].min() >= 0 else None, percent))
-        pairs = np.concatenate(found)
-        ids = pdf["id"].to_numpy()
-        u, v = ids[pairs[:, 0]], ids[pairs[:, 1]]
-        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
+        i, j, common = tree_join(group, side, size, bits, spare, comp, percent)
+        if best and len(i):
+            # Of a row's partners before it in order of size and node, that with the most bits in common for both sizes.
+            swap = (size[i] > size[j]) | ((size[i] == size[j]) & (node[i] > node[j]))
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            like = common / (size[i] + size[j])
+            at = np.lexsort((node[i], -like, j))
+            first = np.concatenate([[True], j[at][1:] != j[at][:-1]])
+            i, j = i[at][first], j[at][first]
+        u, v = node[i], node[j]
+        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).query("a < b").drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -281,68 +267,62 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 continue
             bucket, block = pdf["bucket"].to_numpy(), pdf["block"].to_numpy()
             edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1
-            starts = np.concatenate([[0], edge])
             if len(edge):
-                yield groups(pdf, starts[:-1], edge)
-            rest = pdf.iloc[starts[-1] :]
+                yield groups(pdf.iloc[: edge[-1]])
+            rest = pdf.iloc[edge[-1] :] if len(edge) else pdf
         if rest is not None and len(rest):
-            yield groups(rest.reset_index(drop=True), np.zeros(1, "i8"), np.array([len(rest)]))
-
-    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInPandas(run, f"a {kind}, b {kind}")
-
-
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, component_id."""
-    signed = cut(signatures(docs, id_col, text_col, words, percent))
-    classes = cut(signed.where("size > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("rep")))
-    reps = signed.where("size > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = cut(reps.select("id", "size", "prefix", "bits", "spare"))
-
-    rows = reps.select(F.explode("prefix").alias("bucket"), "id")
-    heads = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("head <> last")
-    heads = cut(heads.select("bucket", "head", "n"))
+            yield groups(rest)
+
+    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInPandas(run, "a long, b long")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, settle: bool = True) -> DataFrame:
+    """id, n_shingles, component_id. ``settle``: run the trees of single blocks first; without it the result is the same."""
+    signed = cut(signatures(docs, id_col, text_col, words, percent).withColumn("node", F.monotonically_increasing_id()))
+    known = signed.where("size > 0 and id is not null")
+    classes = cut(known.groupBy("set_key").agg(F.min("id").alias("least"), F.min("node").alias("node")))
+    reps = cut(known.join(classes.select("node"), "node", "left_semi").select("node", "id", "h", "size", "prefix", "bits", "spare"))
+    # Different sets under one id.
+    several = known.groupBy("id").agg(F.min(F.xxhash64("set_key")).alias("x"), F.max(F.xxhash64("set_key")).alias("y")).where("x <> y").select("id")
+    sets = known.join(several, "id", "left_semi").select("id", "set_key").join(classes.select("set_key", "node"), "set_key").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n"))
+    sets = cut(sets.select("id", "node"))
+    edges = sets.join(sets.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a < b").distinct()
+
+    rows = reps.select(F.explode("prefix").alias("bucket"), "node")
+    heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("head <> last")
+    heads = cut(heads.select("bucket", "head", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     members = cut(in_bitmap(rows, "bucket", heads, "bucket").join(heads, "bucket"))
-
-    star = members.where(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    edges = cut(verify(prune(star, reps, percent), docs, id_col, text_col, words, percent))
-
-    comps = cut(connected_components(edges, "a", "b"))
-    labelled = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    labelled = cut(labelled.select("bucket", "id", "comp", "n", "head"))
+    own = F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int")
+    leaves = reps.select("node", "size", "bits", "spare")
+    columns = ["bucket", "block", "side", "node", "size", "bits", "spare", "comp"]
+
+    labelled = members.withColumn("comp", F.col("node"))
+    if settle:
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        single = labelled.withColumn("block", F.explode(F.when(F.col("node") == F.col("head"), every).otherwise(F.array(own)))).withColumn("side", F.lit(-1))
+        proposed = cut(_tree_pairs(single.join(leaves, "node").select(*columns), percent, True).distinct())
+        edges = cut(edges.unionByName(verify(proposed, reps, docs, id_col, text_col, words, percent)))
+        comps = cut(connected_components(edges, "a", "b"))
+        labelled = members.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        labelled = cut(labelled.select("bucket", "node", "comp", "parts"))
     mixed = cut(labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket"))
-    # The bucket's head was compared with every member already.
-    left = labelled.where("id <> head").join(mixed, "bucket", "left_semi")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    left = left.withColumn("parts", parts).withColumn("own", own)
+    left = labelled.join(mixed, "bucket", "left_semi").withColumn("own", own)
     # Row of part p goes to the blocks (p, q) and (q, p), smaller part first; block = smaller * parts + larger.
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = left.withColumn("other", other).withColumn("block", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    left = left.withColumn("side", side).join(reps.select("id", "size", "bits", "spare"), "id").select("bucket", "block", "side", "id", "size", "bits", "spare", "comp")
-    more = cut(_tree_pairs(left, percent).distinct())
-    edges = edges.unionByName(verify(more, docs, id_col, text_col, words, percent))
+    left = left.withColumn("side", side).join(leaves, "node").select(*columns)
+    more = _tree_pairs(left, percent, False).distinct()
+    if settle:
+        more = more.join(proposed, ["a", "b"], "left_anti")
+    edges = edges.unionByName(verify(cut(more), reps, docs, id_col, text_col, words, percent))
     final = cut(connected_components(edges, "a", "b"))
 
-    reached = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("id", "size", "set_key").join(cut(reached), "set_key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.expr("CASE WHEN id IS NOT NULL THEN coalesce(component_id, id) END AS component_id"))
-
-
-def prune(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the bitmaps of both allow."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if not len(p):
-                continue
-            x, y = (np.frombuffer(b"".join(p[c]), "u8").reshape(len(p), BITS // 64) for c in ("xb", "yb"))
-            ok = fits(*(p[c].to_numpy("i8") for c in ("xs", "ys")), x, y, *(p[c].to_numpy("i8") for c in ("xp", "yp")), percent)
-            yield p.loc[ok, ["a", "b"]]
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    side = lambda own, tag: reps.select(F.col("id").alias(own), F.col("size").alias(f"{tag}s"), F.col("bits").alias(f"{tag}b"), F.col("spare").alias(f"{tag}p"))
-    return cut(cut(pairs).join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(run, f"a {kind}, b {kind}"))
+    at = cut(classes.join(final, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component")))
+    smallest = cut(at.groupBy("component").agg(F.min("least").alias("component_id")))
+    reached = cut(at.join(smallest, "component").select("set_key", "component_id"))
+    out = signed.select("id", "size", "set_key").join(reached, "set_key", "left")
+    found = out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.expr("CASE WHEN id IS NOT NULL THEN coalesce(component_id, id) END AS component_id"))
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

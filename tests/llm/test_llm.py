@@ -409,11 +409,43 @@ def test_trees_find_what_all_pairs_find():
             bits[i], size[i] = bits[i - 1], size[i - 1]
     packed = np.packbits(bits, axis=1).view("u8")
     spare, comp = size - bits.sum(1), rng.integers(0, 300, 400)
-    for side in (None, rng.integers(0, 2, 400)):
-        got = {tuple(sorted(p)) for p in ngram_join.tree_join(size, packed, spare, comp, side, 85).tolist()}
-        ok = ngram_join.fits(size[:, None], size[None], packed[:, None], packed[None], spare[:, None], spare[None], 85) & (comp[:, None] != comp[None])
-        want = {(i, j) for i, j in np.argwhere(np.triu(ok, 1)).tolist() if side is None or side[i] != side[j]}
-        assert got == want
+    group = rng.integers(0, 3, 400)
+    group[:40] = np.arange(40) // 2 + 10  # groups of two beside large ones
+    shared = (bits[:, None] & bits[None]).sum(-1)
+    for side in (np.full(400, -1), rng.integers(0, 2, 400)):
+        i, j, common = ngram_join.tree_join(group, side, size, packed, spare, comp, 85)
+        got = set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True))
+        most = np.minimum(np.minimum(size[:, None], size[None]), shared + np.minimum(spare[:, None], spare[None]))
+        ok = (most * 185 >= 85 * (size[:, None] + size[None])) & (100 * np.minimum(size[:, None], size[None]) >= 85 * np.maximum(size[:, None], size[None]))
+        ok &= (comp[:, None] != comp[None]) & (group[:, None] == group[None])
+        want = {(i, j) for i, j in np.argwhere(np.triu(ok, 1)).tolist() if side[i] < 0 or side[i] != side[j]}
+        assert got == want and len(i) == len(want) > 20 and (common == shared[i, j]).all()
+
+
+def test_trees_alone_find_the_same_links(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(30):
+        base = words(rng, rng.randrange(10, 60))
+        for _ in range(rng.randrange(1, 9)):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(1000)}"
+            texts.append(" ".join(w))
+    _, comp = brute_jaccard(texts, 4, 85)
+    for settle in (True, False):
+        assert {r.doc_id: r.component_id for r in ngram_join.jaccard_join(docs(spark, texts), settle=settle).collect()} == comp
+
+
+def test_ngram_join_links_the_texts_of_one_id(spark):
+    rng = random.Random(22)
+    a, b, c = (" ".join(words(rng, 30)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (4, None), (5, c + " x"), (None, a)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    out = defaultdict(set)
+    for r in ngram_join.jaccard_join(d).collect():
+        out[r.doc_id].add(r.component_id)
+    assert out == {1: {1}, 2: {1}, 3: {1}, 4: {4}, 5: {4}, None: {None}}
 
 
 def test_ngram_join_edges(spark):
