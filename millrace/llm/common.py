@@ -45,6 +45,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once as a table in the shared folder, and its path: smaller than a checkpoint, and ``removed`` when done with."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes intermediate tables, in any store that Spark writes."""
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def fingerprint(*cols: Column | str) -> Column:
     return F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
 
@@ -64,6 +78,18 @@ def in_bitmap(rows: DataFrame, by: str, wanted: DataFrame, hashes: str) -> DataF
     return rows.where(F.expr(f"shiftrightunsigned(_bits, cast({by} & 63L as int)) & 1L") == 1).drop("_slot", "_bits")
 
 
+def heads_of(rows: DataFrame, key: str, node: str, *more: Column) -> DataFrame:
+    """key, head (smallest node), n and ``more`` aggregates of buckets of two nodes or more; of buckets of equal nodes one, the smallest key.
+
+    ``rows`` (key, node) are distinct. Documents that share much share many keys, and these buckets would all compare the same
+    nodes. Sets of nodes are told apart by their number, smallest and largest node and two 64-bit hashes.
+    """
+    mark = [F.bit_xor(F.xxhash64(node, F.lit(seed))).alias(f"_mark{seed}") for seed in (1, 2)]
+    every = rows.groupBy(key).agg(F.min(node).alias("head"), F.max(node).alias("_last"), F.count(F.lit(1)).alias("n"), *mark, *more).where("head <> _last")
+    rest = [c for c in every.columns if c != key]
+    return every.groupBy(*rest).agg(F.min(key).alias(key)).drop("_last", "_mark1", "_mark2")
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 64) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 

@@ -7,7 +7,7 @@ its set's size and the smallest id that it reaches by links.
 2. Trees can't span all documents, so a prefix deals them out: sets that link share one of the first ``n - ceil(t n) + 1`` members
    in a common order. The order puts rare words first, by a table of word counts of fixed size over all documents, so a passage
    that many documents share comes last. Any order is exact; counts only decide how much is compared. Nodes that share a prefix
-   member are a bucket, cut into blocks of bounded size.
+   member are a bucket; of buckets of the same nodes one is kept, and it is cut into blocks of bounded size.
 3. In a block, nodes are ordered by size and become the leaves of a signature tree: each tree node holds the OR of the token
    bitmaps below it and their range of sizes. A dual traversal from the roots drops pairs of tree nodes whose largest possible
    overlap, or whose sizes, cannot reach the percentage, or which are one component. All trees of a batch descend together.
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, cut, in_bitmap
+from millrace.llm.common import connected_components, cut, heads_of, in_bitmap
 
 WORDS, PERCENT = 4, 85
 COUNTS = 1 << 18  # entries of the table of word counts: 1 MB, whatever the input
@@ -289,8 +289,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges = sets.join(sets.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a < b").distinct()
 
     rows = reps.select(F.explode("prefix").alias("bucket"), "node")
-    heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("head <> last")
-    heads = cut(heads.select("bucket", "head", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    heads = cut(heads_of(rows, "bucket", "node").select("bucket", "head", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     members = cut(in_bitmap(rows, "bucket", heads, "bucket").join(heads, "bucket"))
     own = F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int")
     leaves = reps.select("node", "size", "bits", "spare")
