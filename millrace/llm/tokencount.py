@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, removed, stored
 
 LIMIT = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of the part of the counts that is broadcast, and bytes of a pre-token in it, at most.
-HEAD, SHOWN = 200_000, 64
+HEAD, SHOWN = 500_000, 64
 #: Distinct pre-tokens that a task holds before it passes them on.
 HELD = 400_000
 _runs = re.compile(r"[^ \t\r\n]+").findall
@@ -54,7 +54,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def pre_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """key, run, n: the distinct pre-tokens of all texts and how often they occur."""
+    """run, n: the distinct pre-tokens of all texts and how often they occur."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -64,7 +64,7 @@ def pre_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
             held.clear()
             for at in range(0, len(rows), 20_000):
                 runs, n = zip(*rows[at : at + 20_000], strict=True)
-                yield pa.RecordBatch.from_pydict({"key": [key_of(r) for r in runs], "run": list(runs), "n": list(n)})
+                yield pa.RecordBatch.from_pydict({"run": list(runs), "n": list(n)})
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -74,12 +74,11 @@ def pre_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
         yield from out()
 
     texts = docs.select(F.col(text_col).alias("t")).where("t <> ''")
-    rows = texts.mapInArrow(count, "key string, run string, n long")
-    return rows.groupBy("key", "run").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "run string, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def piece_counts(runs: DataFrame, path: str) -> DataFrame:
-    """``runs`` (key, run, n) with ``pieces``, without ``run``: each distinct pre-token is encoded once."""
+    """key, n, pieces of ``runs`` (run, n): each distinct pre-token is encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -88,10 +87,11 @@ def piece_counts(runs: DataFrame, path: str) -> DataFrame:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         for batch in batches:
-            found = [len(tokenizer.encode(r, add_special_tokens=False).ids) for r in batch.column("run").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(found, pa.int64())], names=["key", "n", "pieces"])
+            found = batch.column("run").to_pylist()
+            pieces = [len(tokenizer.encode(r, add_special_tokens=False).ids) for r in found]
+            yield pa.RecordBatch.from_arrays([pa.array(map(key_of, found), pa.string()), batch.column("n"), pa.array(pieces, pa.int64())], names=["key", "n", "pieces"])
 
-    return runs.select("key", "run", "n").mapInArrow(encode, "key string, n long, pieces long")
+    return runs.select("run", "n").mapInArrow(encode, "key string, n long, pieces long")
 
 
 def most_frequent(counts: DataFrame, head: int) -> DataFrame:
@@ -109,7 +109,7 @@ def most_frequent(counts: DataFrame, head: int) -> DataFrame:
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit; one row per input row. ``vocabulary``: path of the file, the same on all executors."""
     path = vocabulary or vocabulary_path()
-    counts = cut(piece_counts(pre_tokens(df, text_col), path))
+    counts, counted = stored(piece_counts(pre_tokens(df, text_col), path), "pieces")
     # Of bounded size: at most ``head`` rows of at most SHOWN bytes.
     shared = df.sparkSession.sparkContext.broadcast({k: p for k, p in most_frequent(counts, head).collect()})
 
@@ -137,9 +137,10 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns = [part.column("row"), part.column("id"), part.column("n_bytes"), pa.array(sums, pa.int64()), pa.array(keys, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_bytes", "known", "keys", "times"])
 
-    found = cut(rows.mapInArrow(look_up, f"row long, id {kind.simpleString()}, n_bytes long, known long, keys array<string>, times array<long>"))
+    found, looked = stored(rows.mapInArrow(look_up, f"row long, id {kind.simpleString()}, n_bytes long, known long, keys array<string>, times array<long>"), "frequencies")
     rare = found.select("row", F.explode(F.arrays_zip("keys", "times")).alias("r")).select("row", "r.keys", "r.times").withColumnRenamed("keys", "key")
     summed = rare.join(counts.select("key", "pieces"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("rare"))
     n = (F.col("known") + F.coalesce("rare", F.lit(0))).cast("long")
-    out = found.select("row", "id", "n_bytes", "known").join(summed, "row", "left").select(F.col("id").alias(id_col), "n_bytes", n.alias("n_tokens"))
+    out = cut(found.select("row", "id", "n_bytes", "known").join(summed, "row", "left").select(F.col("id").alias(id_col), "n_bytes", n.alias("n_tokens")))
+    removed(df.sparkSession, counted, looked)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
