@@ -9,16 +9,16 @@ children a node. The last residual of a source takes the rest of the target as a
 Sizes and totals are aggregated over all rows. The table of sources is itself a distributed table: its order is a range
 partitioned sort, and the water level of the targets is found by rounds of aggregates. Draws are hashes of ids, sizes and
 seed, so reruns agree. Null texts and texts without words have size 0 and take nothing; a null source is a source of its own,
-last in order. An empty table gives an empty result. Equal rows are rounded each by itself. Other columns pass through
-``mix_rows``; the helper columns are prefixed with ``_mix`` .
+last in order. An empty table gives an empty result. Rows of equal id, source and size are counted before they are shuffled and
+then told apart by number, so each is rounded by itself and a repeated or null id is no leaf of its own. Ids stay in Arrow, so
+they are exact beside nulls too. Other columns pass through ``mix_rows``; the helper columns are prefixed with ``_mix`` .
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +45,12 @@ def ranked(df: DataFrame, *order) -> DataFrame:
     for part, n, first in sizes:
         starts.append((part, before - first))
         before += n
-    if not starts:
-        return rows.drop("_part", "_row").withColumn("rank", F.lit(0).cast("long"))
-    shift = F.element_at(F.create_map(*(F.lit(x) for pair in starts for x in pair)), F.col("_part"))
-    return rows.withColumn("rank", F.col("_row") + shift).drop("_part", "_row")
+    shifts = df.sparkSession.createDataFrame(starts, "_part int, _shift long")  # a row a partition
+    return rows.join(F.broadcast(shifts), "_part").withColumn("rank", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
 
 
-def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """From (source, size): source, source_size, n_rows, target. Water filling; each round freezes the sources above their cap."""
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+def targets(by: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """``by`` (source, source_size, n_rows) with target. Water filling; each round freezes the sources above their cap."""
     by = ranked(by, F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
     by = by.withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(most))
@@ -105,25 +102,43 @@ def duel(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
+def _settle(table: pa.Table) -> pa.Table:
+    """``duel`` on a node's rows; what it does not read stays as it is."""
+    rows = pd.DataFrame({c: table.column(c).to_numpy() for c in ("size", "p", "_mix_key")} | {"at": np.arange(len(table))})
+    rows = duel(rows)
+    out = table.take(pa.array(rows["at"].to_numpy()))
+    for c in ("p", "open"):
+        out = out.set_column(out.schema.get_field_index(c), c, pa.array(rows[c].to_numpy()))
+    return out
+
+
+#: Equal rows that are numbered in one array, at most.
+NUMBERED = 10_000
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: float = MOST) -> DataFrame:
     """id, source, size, source_size, target, copies (whole), part (words of one more, partial copy), fraction."""
-    sizes = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")))
-    by = cut(targets(sizes.select("source", "size"), share, most))
+    counted = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")).groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("_mix_n"))
+    counted = cut(counted)
+    by = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("_mix_n")).alias("source_size"), F.sum("_mix_n").alias("n_rows"))
+    by = cut(targets(by, share, most))
+    each = counted.withColumn("_mix_a", F.explode(F.sequence(F.lit(0), F.floor((F.col("_mix_n") - 1) / NUMBERED).cast("int"))))
+    last = F.least(F.lit(NUMBERED), F.col("_mix_n") - F.col("_mix_a") * NUMBERED).cast("int")
+    each = each.withColumn("_mix_b", F.explode(F.sequence(F.lit(1), last)))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sizes.join(by.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = each.join(by.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = F.when(F.col("size") > 0, F.floor(rate + 1e-9)).otherwise(0).cast("long")
     rows = (
         rows.withColumn("whole", whole)
-        .withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), rate - F.col("whole"))).otherwise(0.0))
+        .withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), rate - F.col("whole"))).otherwise(F.lit(0.0)))
         .withColumn("open", F.lit(True))
-        .withColumn("_mix_key", F.xxhash64(F.lit(SEED), "id", "size"))
+        .withColumn("_mix_key", F.xxhash64(F.lit(SEED), "id", "size", "_mix_a", "_mix_b"))
     )
     # A leaf's number is a hash of the row; the tree above halves it FANOUT-fold.
-    rows = rows.withColumn("_mix_node", F.pmod("_mix_key", F.ceil(F.col("n_rows") / LEAF)))
-    names = rows.columns
+    rows = rows.withColumn("_mix_node", F.pmod("_mix_key", F.ceil(F.col("n_rows") / LEAF))).drop("_mix_a", "_mix_b", "_mix_n")
     settled, level = [], rows
     while True:
-        level = cut(level.groupBy("source", "_mix_node").applyInPandas(lambda pdf: duel(pdf)[names], rows.schema))
+        level = cut(level.groupBy("source", "_mix_node").applyInArrow(_settle, rows.schema))
         settled.append(level.where("not open"))
         level = level.where("open")
         if level.where("_mix_node > 0").isEmpty():
