@@ -9,7 +9,7 @@ Ids come from a table of byte strings by word: the vocabulary's pattern begins a
 other characters, so a text without white space runs is the concatenation of its words' ids. Other texts are encoded whole.
 
 Null and empty texts have no tokens and so no segment. Rows with equal ids are packed each; an empty table gives an empty result.
-Strings that look like special tokens are text. Other columns are not read.
+Strings that look like special tokens are text. Ids stay in Arrow, so they are exact beside nulls too. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,13 +128,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     kind = docs.schema[id_col].dataType.simpleString()
     names = [x.strip().split(" ")[0] for x in SCHEMA.split(",")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, bins, words = TaskContext.get().partitionId(), 0, WordIds(vocabulary)
-        held, size = [], 0
+        held, size, kinds = [], 0, None
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal bins, held, size
             rows = best_fit_decreasing([len(p[3]) for p in held], width)
             for at in range(0, len(rows), 500):
@@ -148,12 +149,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                     doc, part, offset = zip(*(p[:3] for p in own), strict=True)
                     out.append((shard, bins, int(ends[-1]), len(own), ids.tobytes(), ends.tolist(), places.tobytes(), list(doc), list(part), list(offset)))
                     bins += 1
-                yield pd.DataFrame(out, columns=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
             held, size = [], 0
 
-        for pdf in batches:
-            ids_of = [None if pd.isna(i) else i for i in pdf["id"]]
-            for i, t in zip(ids_of, pdf["t"], strict=True):
+        for batch in batches:
+            n = pa.int32()
+            kinds = [pa.int64(), pa.int64(), n, n, pa.binary(), pa.list_(n), pa.binary(), pa.list_(batch.schema.field("id").type), pa.list_(n), pa.list_(pa.int64())]
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), strict=True):
                 if not t:
                     continue
                 ids = words.ids(t)
@@ -165,7 +167,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         if held:
             yield from flush()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, SCHEMA.format(kind=kind))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, SCHEMA.format(kind=kind))
 
 
 def unpack(packed: pd.DataFrame, vocabulary: str) -> dict:
