@@ -5,19 +5,24 @@ into one piece more than that, so any passage within the budget holds a piece un
 an automaton over each whole text; around each hit, the window that the item could fill is checked by Myers' bit-parallel distance.
 
 Folding: lower case, white space runs as one blank, none at the ends. Items that are null or empty match nothing; an item
-shorter than 1 / ``RATE`` must occur as it is. Items are taken in blocks of at most ``BLOCK_CHARS`` characters, read one block at a time, so
-what is sent to executors has a fixed bound however large the benchmark is; each block passes over all documents.
+shorter than 1 / ``RATE`` must occur as it is. Items are taken in blocks of at most ``BLOCK_CHARS`` characters. The driver reads one block at a
+time, each block passes over all documents, its hits are written as a table, and its broadcast is destroyed before the next one.
+So memory has a fixed bound however large the benchmark is; the passes over the documents grow with it.
 
-Null and empty texts hold nothing. Rows with equal ids are one document. Ties in distance take the first end. Other columns are not read.
+Null and empty texts hold nothing. Rows with equal ids are one document. Ties in distance take the first end. Ids stay in Arrow,
+so they are exact beside nulls too. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from millrace.llm.common import cut, removed, stored
 
 RATE = 0.1
 BLOCK_CHARS = 2_000_000
@@ -161,30 +166,35 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """id, item id, distance, end: each document and item of which it holds a passage."""
+    spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     schema = f"id {kind}, item {item_kind}, distance long, end long"
-    out = None
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
+    paths = []
     for block in blocks(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate)
-            for pdf in batches:
-                found = [(i, *hit) for i, t in zip(pdf["id"], pdf["t"], strict=True) for hit in matcher.find(t)]
-                yield pd.DataFrame(found, columns=["id", "item", "distance", "end"])
-
-        part = rows.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], schema)
+            for batch in batches:
+                ids, texts = batch.column("id").to_pylist(), batch.column("t").to_pylist()
+                found = [(i, *hit) for i, t in zip(ids, texts, strict=True) for hit in matcher.find(t)]
+                if found:
+                    i, item, distance, end = zip(*found, strict=True)
+                    columns = [pa.array(i, batch.schema.field("id").type), pa.array(item, item_type), pa.array(distance, pa.int64()), pa.array(end, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "item", "distance", "end"])
+
+        paths.append(stored(rows.mapInArrow(run, schema), "hits")[1])
+        shared.destroy()
+    out = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
     best = out.groupBy("id", "item").agg(F.min(F.struct("distance", "end")).alias("b"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.distance", "b.end")
+    best = cut(best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.distance", "b.end"))
+    removed(spark, *paths)
+    return best
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold no item; rows with a null id are matched by text alone and kept."""
-    from millrace.llm.common import cut
-
     hit = cut(matches(docs, benchmark, id_col, text_col, rate=rate).select(F.col(id_col).alias("_hit")).distinct())
     return docs.join(hit, F.col(id_col) == F.col("_hit"), "left_anti")
