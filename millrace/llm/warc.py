@@ -229,9 +229,9 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     in a join whose stream side adaptive execution can split where one payload holds a large part of the rows.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(F.coalesce(html_col, F.lit("")).cast("binary")).alias("digest"))
-    known = rows.where("id is not null").groupBy("digest").agg(F.min(F.struct("id", "url")).alias("f"))
-    often = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = cut(often.join(known, "digest").select("digest", F.col("f.id").alias("first"), F.col("f.url").alias("first_url")))
+    known = F.when(F.col("id").isNotNull(), F.struct("id", "url"))
+    first = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(known).alias("f")).where("n > 1 and f is not null")
+    first = cut(first.select("digest", F.col("f.id").alias("first"), F.col("f.url").alias("first_url")))
     rows = rows.join(first.hint("shuffle_hash"), "digest", "left")
     own = F.expr("CASE WHEN id = first THEN NULL ELSE first END").cast("string")
     rows = rows.select(F.col("id").cast("string").alias("id"), "url", "html", own.alias("repeats"), "first_url")
@@ -239,8 +239,8 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids, urls, htmls, repeats, first_urls = (c.to_pylist() for c in batch.slice(at, 500).columns)
+            for at in range(0, batch.num_rows, 200):
+                ids, urls, htmls, repeats, first_urls = (c.to_pylist() for c in batch.slice(at, 200).columns)
                 originals = iter([None if k is None else Original(k, safe_url(u), PAGE_DATE) for k, u in zip(repeats, first_urls, strict=True)])
                 archive = page_archive(ids, urls, htmls, 1 + n % 2, f"pages-{n}.arc")
                 out = []
