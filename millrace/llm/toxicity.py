@@ -5,14 +5,16 @@ the whole text; each keeps its maximum, and a logistic layer adds the kept value
 the products of a word's vector with all filters are computed once per distinct word, kept in a bounded table, and a text costs
 a look-up and additions a word.
 
-The sample that the model is fitted on is bounded: at most ``SAMPLE`` labelled rows of each class, of texts of at most
-``SAMPLE_CHARS`` characters, the first by a hash of the id, and never a held-out row. A quarter of it is kept from training. All
-labelled rows that are neither held out nor trained on, of any length, are then scored by the executors, and histograms of their
+The sample that the model is fitted on is bounded: at most ``SAMPLE`` labelled rows of each class, of any length, the first by a
+hash of the id, and never a held-out row. Of a text of more than ``SAMPLE_CHARS`` characters the fit reads that many, from a place
+given by the hash: any part of a text that isn't toxic is not toxic either; of a toxic one up to ``WHOLE`` times as many. A quarter of the sample is kept from training. All
+labelled rows that are neither held out nor trained on are then scored whole by the executors, and histograms of their
 logits set the level that maps to a score of 0.5, and a threshold for each language. A language without rows of both classes takes
 0.5; if those rows together lack a class, the trained rows count as well. Language moves the threshold only, never the score.
 
 Null and empty texts get the score of a text without words. Labels that are null are ignored; of several labels of one id the
-largest holds. Without labels of both classes every score is 0. Rows repeat as they come; other columns are not read.
+largest holds, and of several texts of one id the fit reads the one of the smallest hash. Without labels of both classes every
+score is 0. Rows repeat as they come; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import in_bitmap
 
-SAMPLE, SAMPLE_CHARS = 2500, 20_000
+SAMPLE, SAMPLE_CHARS, WHOLE = 2500, 20_000, 10
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
 EPOCHS, RATE, SEED = 12, 0.15, 7
 TABLE_ROWS = 200_000
@@ -192,11 +194,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     key = F.xxhash64(id_col)
     picked = known.where("_y > 0").orderBy(key, id_col).limit(sample).unionByName(known.where("_y <= 0").orderBy(key, id_col).limit(sample))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(F.length("_text") <= SAMPLE_CHARS)
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.coalesce(text_col, F.lit("")).alias("_text"))
     # Of fixed size: 2 x sample rows of an id and a label.
-    rows = texts.join(F.broadcast(picked), F.col("_id") == F.col(id_col)).select("_id", "_text", "_lang", "_y").dropDuplicates(["_id"]).collect()
+    found = texts.join(F.broadcast(picked), F.col("_id") == F.col(id_col))
+    most = F.when(F.col("_y") > 0, SAMPLE_CHARS * WHOLE).otherwise(SAMPLE_CHARS)
+    start = F.pmod("_h", F.greatest(F.lit(1), F.length("_text") - most + 1)) + 1
+    found = found.select("_id", "_y", "_h", F.substring("_text", start, most).alias("_text"))
+    rows = found.groupBy("_id", "_y").agg(F.min(F.struct("_h", "_text")).alias("_t")).select("_id", "_t._text", "_y").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    y = np.array([int(r[3] > 0) for r in rows])
+    y = np.array([int(r[2] > 0) for r in rows])
     if len(set(y)) < 2:
         return None
     check = np.arange(len(rows)) % 4 == 3
