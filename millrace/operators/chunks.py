@@ -92,10 +92,11 @@ def payload(chunks: DataFrame, key: str = "review_id", max_tokens: int = 4000) -
 
 def line_blocks(docs: DataFrame, path_col: str = "path", text_col: str = "source", size: int = 60) -> DataFrame:
     """Blocks of ``size`` lines of each text: path, number of n, name with padded number, first and last line, text, summary."""
+    cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda b: F.slice("_l", b * size + 1, F.lit(size)))
     rows = docs.withColumn("_l", T.lines(F.col(text_col))).where(F.size("_l") > 0).withColumn("n", F.ceil(F.size("_l") / size).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    start = (F.col("block") - 1) * size + 1
-    own = F.slice("_l", start, F.lit(size))
+    # Each block's lines are taken before the blocks become rows, so no row holds the whole text.
+    rows = rows.select(path_col, "n", F.posexplode(cut).alias("_p", "_own")).withColumn("block", F.col("_p") + 1)
+    start, own = F.col("_p") * size + 1, F.col("_own")
     name = F.concat(F.lit("chunk_"), F.lpad(F.col("block").cast("string"), F.length(F.col("n").cast("string")), F.lit("0")))
     rows = rows.withColumn("unit_name", name).withColumn("start_line", start).withColumn("end_line", start + F.size(own) - 1).withColumn("snippet", F.substring(F.array_join(own, "\n"), 1, 2000))
     summary = F.format_string("%s code block %d/%d in `%s` (lines %d–%d).", T.language(F.col(path_col))["name"], F.col("block"), F.col("n"), F.col(path_col), F.col("start_line"), F.col("end_line"))

@@ -28,12 +28,16 @@ RULES: tuple[tuple[str, str, str, str], ...] = (
 ENTROPY_LEAST = {"hex": 3.0, "base64": 4.5}
 
 
+HIT = "struct<start:int,stop:int,value:string,rule:int,kind:string,severity:string,description:string>"
+#: A text without any of these has no hit: one scan spares the others.
+HINTS = r"(?i)-----BEGIN|AKIA|aws|AIza|sk-|gh[pousr]_|[sp]k_|xox|eyJ|://|pass|pwd|secret|key|token|credential"
+
+
 def _rule_hits(text: Column, rule: int) -> Column:
-    """array<struct<start, stop, value, rule>> of one rule, offsets of group 1; one fold over gaps and matches."""
+    """Hits of one rule with the offsets of group 1; one fold over gaps and matches."""
     kind, severity, about, pattern = RULES[rule]
     whole, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
-    row = "array<struct<start:int,stop:int,value:string,rule:int,kind:string,severity:string,description:string>>"
     # A value ends its match, but for the quote that closes an assignment.
     tail = 1 if pattern.endswith("""['"]""") else 0
 
@@ -46,14 +50,20 @@ def _rule_hits(text: Column, rule: int) -> Column:
         return F.struct(stop.alias("at"), F.concat(s["out"], F.array(hit)).alias("out"))
 
     zipped = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), values.alias("value"))
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(row).alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(row))
+    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{HIT}>").alias("out")), step, lambda s: s["out"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{HIT}>"))
+
 
+def hits_of(text: Column, rules: tuple[str, ...] | None = None) -> Column:
+    """All hits of a text, of the rules named or of all."""
+    wanted = [k for k, r in enumerate(RULES) if rules is None or r[0] in rules]
+    return F.when(text.rlike(HINTS), F.concat(*(_rule_hits(text, k) for k in wanted))).otherwise(F.array().cast(f"array<{HIT}>"))
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[str, ...] | None = None) -> DataFrame:
     """One row a hit: id, kind, severity, line, col, start, stop, value, masked, placeholder, description, rule, detector."""
     body = F.coalesce(F.col(text_col), F.lit(""))
-    hits = docs.select(F.col(id_col), body.alias("_t"), F.explode(F.concat(*(_rule_hits(body, k) for k in range(len(RULES))))).alias("h"))
+    hits = docs.select(F.col(id_col), body.alias("_t"), F.explode(hits_of(body, rules)).alias("h"))
     at = T.line_of(F.col("_t"), F.col("h.start"))
     hits = hits.select(id_col, "h.*", at.alias("at"))
     return hits.select(
@@ -76,27 +86,69 @@ def entropy_bits(value: Column) -> Column:
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s - p(c) * F.log2(p(c)))
 
 
+# Kind and severity of the second detector's hits.
+ENTROPY_KIND, ENTROPY_SEVERITY = "detect_secrets_finding", "medium"
+QUOTED = r"""["']([A-Za-z0-9+/=_-]{16,})["']"""
+
+
+def _entropic(value: Column) -> Column:
+    least = F.when(value.rlike("^[0-9a-fA-F]+$"), ENTROPY_LEAST["hex"]).otherwise(ENTROPY_LEAST["base64"])
+    return entropy_bits(value) >= least
+
+
 def entropy_hits(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Quoted strings of high entropy on lines that no pattern covers."""
+    """Quoted strings of high entropy on lines that no pattern covers. Ids must be unique; ``sanitize`` needs no ids."""
     rows = docs.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("_p", "_line"))
-    rows = rows.select(id_col, (F.col("_p") + 1).alias("line"), F.explode(F.regexp_extract_all("_line", F.lit(r"""["']([A-Za-z0-9+/=_-]{16,})["']"""), F.lit(1))).alias("value"))
-    bits = entropy_bits(F.col("value"))
-    least = F.when(F.col("value").rlike("^[0-9a-fA-F]+$"), ENTROPY_LEAST["hex"]).otherwise(ENTROPY_LEAST["base64"])
-    rows = rows.where(bits >= least).select(id_col, "line", "value", F.lit("detect_secrets_finding").alias("kind"), F.lit("medium").alias("severity"), F.lit("entropy").alias("detector"))
+    rows = rows.select(id_col, (F.col("_p") + 1).alias("line"), F.explode(F.regexp_extract_all("_line", F.lit(QUOTED), F.lit(1))).alias("value"))
+    rows = rows.where(_entropic(F.col("value"))).select(id_col, "line", "value", F.lit(ENTROPY_KIND).alias("kind"), F.lit(ENTROPY_SEVERITY).alias("severity"), F.lit("entropy").alias("detector"))
     return rows.join(hits.select(id_col, "line").distinct(), [id_col, "line"], "left_anti")
 
 
-def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", all_kinds: bool = False) -> DataFrame:
-    """id, text with placeholders, n_secrets, highest. The spans of a line's winning kind are replaced; with ``all_kinds`` all are."""
-    rank = lookup(SECRET_RANK, F.col("severity"), 1)
-    w = Window.partitionBy(id_col, "line").orderBy(rank.desc(), "start", "rule")
-    hits = detect(docs, id_col, text_col).withColumn("_n", F.row_number().over(w)).withColumn("_kind", F.first("kind").over(w))
-    span = F.struct("start", "stop", "placeholder")
-    # One pass over the texts gives winners and spans; only hits are shuffled.
-    found = hits.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(span if all_kinds else F.when(F.col("kind") == F.col("_kind"), span)), asc=False).alias("_spans"),
-        F.count_if(F.col("_n") == 1).alias("n_secrets"), F.max_by("severity", F.when(F.col("_n") == 1, rank)).alias("highest"),
+def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", all_kinds: bool = False, entropy: bool = False) -> DataFrame:
+    """``docs`` with sanitized, n_secrets, highest and findings: the winner of each line, as (line, kind, severity, start, masked, placeholder, detector).
+
+    The spans of a line's winning kind are replaced; with ``all_kinds`` all are. With ``entropy``, quoted strings of high entropy
+    on lines without a hit are found and replaced too. All is done within the row: rows of equal ids don't meet, nothing is shuffled.
+    Overlapping spans: the first stands.
+    """
+    rows = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_found", hits_of(F.col("_t")))
+    lined = lambda h: T.line_of(F.col("_t"), h["start"])["line"]
+    rank = lambda h: -lookup(SECRET_RANK, h["severity"], 1)
+    item = lambda h, detector: F.struct(
+        lined(h).alias("line"), rank(h).alias("rank"), h["start"].alias("start"), h["rule"].alias("rule"), h["stop"].alias("stop"), h["kind"].alias("kind"),
+        h["severity"].alias("severity"), T.mask(h["value"]).alias("masked"), F.lit(detector).alias("detector"),
     )
-    out = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(found, id_col, "left")
-    fold = F.aggregate("_spans", F.col(text_col), lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"]), s["placeholder"], F.substr(t, s["stop"] + 1)))
-    return out.select(id_col, F.coalesce(fold, F.col(text_col)).alias("sanitized"), F.coalesce("n_secrets", F.lit(0)).alias("n_secrets"), "highest")
+    rows = rows.withColumn("_hits", F.array_sort(F.transform("_found", lambda h: item(h, "regex"))))
+    if entropy:
+        # Gaps and matches of the quoted strings, as for a rule; a value stands one before the closing quote.
+        whole, values = F.regexp_extract_all("_t", F.lit(QUOTED), F.lit(0)), F.regexp_extract_all("_t", F.lit(QUOTED), F.lit(1))
+        zipped = F.arrays_zip(F.slice(F.split("_t", QUOTED, -1), 1, F.size(whole)).alias("gap"), whole.alias("whole"), values.alias("value"))
+
+        def step(s: Column, x: Column) -> Column:
+            stop = s["at"] + F.length(x["gap"]) + F.length(x["whole"])
+            hit = F.struct(
+                (stop - 1 - F.length(x["value"])).alias("start"), (stop - 1).alias("stop"), x["value"].alias("value"), F.lit(len(RULES)).alias("rule"),
+                F.lit(ENTROPY_KIND).alias("kind"), F.lit(ENTROPY_SEVERITY).alias("severity"), F.lit("").alias("description"),
+            )
+            return F.struct(stop.alias("at"), F.when(_entropic(x["value"]), F.concat(s["out"], F.array(hit))).otherwise(s["out"]).alias("out"))
+
+        more = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{HIT}>").alias("out")), step, lambda s: s["out"])
+        free = F.filter(F.transform(more, lambda h: item(h, "entropy")), lambda x: ~F.array_contains(F.col("_hits.line"), x["line"]))
+        rows = rows.withColumn("_hits", F.array_sort(F.concat("_hits", free)))
+    # In this order the first hit of each line is its winner.
+    rows = rows.withColumn("_best", F.filter("_hits", lambda x, i: (i == 0) | (F.get("_hits", i - 1)["line"] != x["line"])))
+    kinds = F.map_from_arrays(F.col("_best.line"), F.col("_best.kind"))
+    chosen = F.col("_hits") if all_kinds else F.filter("_hits", lambda x: x["kind"] == F.element_at(kinds, x["line"]))
+    spans = F.array_sort(F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), T.placeholder(x["kind"], x["line"]).alias("text"))))
+    rows = rows.withColumn("_spans", F.array_distinct(spans))
+    # What an earlier span covers is left to it.
+    ends = F.transform("_spans", lambda x, i: F.coalesce(F.array_max(F.slice(F.col("_spans.stop"), 1, i)), F.lit(0)))
+    rows = rows.withColumn("_ends", F.when(F.size("_spans") > 0, ends))
+    parts = F.transform("_spans", lambda x, i: F.when(x["start"] >= F.get("_ends", i), F.concat(F.substr(F.col("_t"), F.get("_ends", i) + 1, x["start"] - F.get("_ends", i)), x["text"])).otherwise(F.lit("")))
+    last = F.substr(F.col("_t"), F.array_max("_spans.stop") + 1)
+    out = F.when(F.size("_spans") == 0, F.col("_t")).otherwise(F.concat(F.array_join(parts, ""), last))
+    shown = F.transform("_best", lambda x: F.struct(
+        x["line"].alias("line"), x["kind"].alias("kind"), x["severity"].alias("severity"), x["start"].alias("start"), x["masked"].alias("masked"), T.placeholder(x["kind"], x["line"]).alias("placeholder"), x["detector"].alias("detector")))
+    highest = F.get(F.array_sort(F.transform("_best", lambda x: F.struct(x["rank"].alias("rank"), x["severity"].alias("severity")))), F.lit(0))["severity"]
+    rows = rows.withColumns({"sanitized": out, "n_secrets": F.size("_best"), "highest": highest, "findings": shown})
+    return rows.drop("_t", "_found", "_hits", "_best", "_spans", "_ends")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,26 +17,56 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Queries are taken this many at a time, so the side that is broadcast has a fixed bound.
+#: Queries are taken this many at a time, so what is sent to executors has a fixed bound.
 QUERY_BLOCK = 2000
+#: Distances are rounded to so many digits before they are ranked, so equal vectors tie.
+DIGITS = 12
+
+
+def _blocks(queries: DataFrame, block: int) -> Iterator[list[tuple]]:
+    """Queries (a stated set) read ``block`` at a time."""
+    held = []
+    for row in queries.toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == block:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int, qid: str = "qid", iid: str = "vec_id", vector: str = "embedding", where: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """qid, iid, distance, relevance, rank: the k nearest items of each query, of unit vectors; ties by item id.
 
-    Queries (a stated set) pass over all items in blocks of bounded size. Each task keeps its best k of a query before the shuffle (WindowGroupLimit).
+    A block of queries is one matrix that is sent to the executors and multiplied with each Arrow batch of items; a batch passes on
+    its best k of a query, which are merged by rank. Null vectors are left out.
     """
-    numbered = queries.select(F.col(qid).alias("qid"), F.col(vector).alias("_q")).withColumn("_b", F.floor(F.monotonically_increasing_id() / block))
     items = items.where(where) if where is not None else items
-    found = None
-    for (b,) in numbered.select("_b").distinct().orderBy("_b").collect():  # a number a block
-        part = F.broadcast(numbered.where(F.col("_b") == b).drop("_b"))
-        pairs = items.select(F.col(iid).alias("iid"), F.col(vector).alias("_v")).join(part)
-        scored = pairs.select("qid", "iid", (1 - dot(F.col("_q"), F.col("_v"))).alias("distance"))
-        w = Window.partitionBy("qid").orderBy("distance", "iid")
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        found = best if found is None else found.unionByName(best)
-    return found.withColumn("relevance", T.relevance(F.col("distance")))
+    rows = items.where(F.col(vector).isNotNull()).select(F.col(iid).alias("iid"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
+    schema = f"qid {asked.schema['qid'].dataType.simpleString()}, iid {rows.schema['iid'].dataType.simpleString()}, distance double"
+    found = queries.sparkSession.createDataFrame([], schema)
+    for held in _blocks(asked, block):
+        shared = queries.sparkSession.sparkContext.broadcast(([q for q, _ in held], np.array([v for _, v in held], "f8")))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = np.stack([np.asarray(x, "f8") for x in batch.column("v").to_pylist()])
+                distance = np.round(1 - matrix @ v.T, DIGITS)
+                own = batch.column("iid")
+                place = pc.rank(own, sort_keys="ascending", tiebreaker="first").to_numpy().astype("i8")
+                # A batch's best k by distance, then id.
+                best = np.lexsort((np.broadcast_to(place, distance.shape), distance), axis=1)[:, :k]
+                at = best.ravel()
+                q = np.repeat(np.arange(len(ids)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), own.take(pa.array(at)), pa.array(distance[q, at])], names=["qid", "iid", "distance"])
+
+        found = found.unionByName(rows.mapInArrow(score, schema))
+    w = Window.partitionBy("qid").orderBy("distance", "iid")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("relevance", T.relevance(F.col("distance")))
 
 
 def related(hits: DataFrame, keep: Column, k: int, key: str = "qid", least: float = 0.35) -> DataFrame:
@@ -78,18 +113,28 @@ def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def keep_or_all(df: DataFrame, key: str, flag: Column) -> DataFrame:
-    """Rows with the flag; all rows of a key that has none."""
-    w = Window.partitionBy(key)
-    return df.withColumn("_any", F.max(flag.cast("int")).over(w)).where((F.col("_any") == 0) | F.col("_any").isNull() | flag).drop("_any")
+    """Rows with the flag; all rows of a key that has none. Keys with a flagged row are aggregated first, so no key's rows are gathered."""
+    flagged = df.where(flag).select(F.col(key).alias("_key")).distinct().withColumn("_any", F.lit(True))
+    rows = df.join(flagged, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return rows.where(F.col("_any").isNull() | flag).drop("_key", "_any")
+
+
+#: Knowledge documents that are sent to every task, at most; a review retrieves a handful.
+KNOWLEDGE = 10_000
 
 
 def match_knowledge(findings: DataFrame, knowledge: DataFrame, text: str = "cwe_id", doc_text: str = "cwe", rank: str = "rank") -> DataFrame:
     """Each finding's first document, by rank, of which one CWE text holds the other; an empty one of the document holds all.
 
-    ``knowledge`` is the small table of documents retrieved for a review; it is joined by nested loop and reduced at once.
+    Only distinct texts meet the documents, which are one small array, checked to be at most ``KNOWLEDGE``; the first match by rank is
+    found within the row. Findings then meet their text's match by an equi-join.
     """
-    k = knowledge.select(F.col(doc_text).alias("_c"), F.struct(F.col(rank), *[c for c in knowledge.columns if c != rank]).alias("_d"))
-    rows = findings.withColumn("_id", F.monotonically_increasing_id())
-    on = F.contains(F.upper(F.col(text)), F.upper(F.col("_c"))) | F.contains(F.upper(F.col("_c")), F.upper(F.col(text)))
-    best = rows.select("_id", text).join(k, on).groupBy("_id").agg(F.min("_d").alias("matched"))
-    return rows.join(best, "_id", "left").drop("_id")
+    names = [c for c in knowledge.columns if c != rank]
+    docs = knowledge.agg(F.array_sort(F.collect_list(F.struct(F.col(rank), F.col(doc_text).alias("_c"), *names))).alias("_docs"))
+    if knowledge.limit(KNOWLEDGE + 1).count() > KNOWLEDGE:
+        raise ValueError("too many knowledge documents for one review")
+    texts = findings.select(F.col(text).alias("_text")).distinct().join(F.broadcast(docs))  # one row
+    holds = lambda d: F.contains(F.upper("_text"), F.upper(d["_c"])) | F.contains(F.upper(d["_c"]), F.upper("_text"))
+    first = F.get(F.filter("_docs", lambda d: F.coalesce(holds(d), F.lit(False))), F.lit(0))
+    matched = texts.select("_text", first.alias("_d")).select("_text", F.when(F.col("_d").isNotNull(), F.struct(F.col(f"_d.{rank}").alias(rank), *(F.col(f"_d.{c}").alias(c) for c in names))).alias("matched"))
+    return findings.join(matched, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,40 +12,55 @@ from millrace.operators import chunks, graph, redact, retrieval, rubric
 from millrace.plans.catalog import query, table
 from millrace.schema import lookup
 
-GENERIC = redact.RULES[-1][3].replace("'", "''")
-#: In another dialect the scan's offsets come from gaps and matches numbered in order.
-HITS = rf"""h AS (SELECT doc_id, t, i, hit, gap, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
-  SELECT doc_id, t, unnest(m) AS hit, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS i FROM (
-    SELECT doc_id, text AS t, regexp_extract_all(text, '{GENERIC}') AS m, string_split_regex(text, '{GENERIC}') AS g FROM documents WHERE regexp_matches(text, '{GENERIC}')))),
-hits AS (SELECT doc_id, t, regexp_extract(hit, '{GENERIC}', 1) AS value, CAST(stop - 1 AS INT) AS stop, CAST(stop - 1 - length(regexp_extract(hit, '{GENERIC}', 1)) AS INT) AS start FROM h),
-lined AS (SELECT *, length(substr(t, 1, start)) - length(replace(substr(t, 1, start), chr(10), '')) + 1 AS line FROM hits)"""
+def _other_dialect(pattern: str) -> str:
+    """The rule for an engine without look-arounds: what precedes a value is matched with it, and a greedy value ends where its letters do."""
+    pattern = re.sub(r"\(\?<!\[(.*?)\]\)", r"(?:^|[^\1])", pattern)
+    return re.sub(r"\(\?!\[.*?\]\)$", "", pattern).replace("'", "''")
+
+
+def _rule_sql(n: int) -> str:
+    """Hits of one rule; offsets come from gaps and matches numbered in order, a value ends its match but for a closing quote."""
+    kind, severity, _, pattern = redact.RULES[n]
+    p, tail = _other_dialect(pattern), 1 if pattern.endswith("""['"]""") else 0
+    return rf"""SELECT doc_id, t, '{kind}' AS kind, '{severity}' AS severity, {n} AS rule, value, CAST(stop - {tail} AS INT) AS stop, CAST(stop - {tail} - length(value) AS INT) AS start FROM (
+  SELECT doc_id, t, value, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+    SELECT doc_id, t, unnest(m) AS hit, unnest(v) AS value, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS i FROM (
+      SELECT doc_id, text AS t, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', 1) AS v, string_split_regex(text, '{p}') AS g FROM documents WHERE regexp_matches(text, '{p}'))))"""
 
 
-def _generic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact.detect(table(spark, sf_dir, "documents")).where("kind = 'generic_secret'")
+HITS = "hits AS (" + " UNION ALL ".join(map(_rule_sql, range(len(redact.RULES)))) + r"""),
+lined AS (SELECT *, CAST(length(substr(t, 1, start)) - length(replace(substr(t, 1, start), chr(10), '')) + 1 AS INT) AS line, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS sev FROM hits),
+winners AS (SELECT * FROM lined QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY sev DESC, start, rule) = 1)"""
+MASKED = "CASE WHEN length(value) <= 4 THEN '****' ELSE substr(value, 1, 4) || repeat('*', least(length(value) - 4, 12)) END"
+MARK = "'<REDACTED_' || upper(kind) || '_L' || line || '>'"
 
 
-@query(f"WITH {HITS} SELECT doc_id, 'generic_secret' AS kind, CAST(line AS INT) AS line, start, stop, CASE WHEN length(value) <= 4 THEN '****' ELSE substr(value, 1, 4) || repeat('*', least(length(value) - 4, 12)) END AS masked, '<REDACTED_GENERIC_SECRET_L' || line || '>' AS placeholder FROM lined")
+@query(f"WITH {HITS} SELECT doc_id, kind, severity, line, start, stop, {MASKED} AS masked, {MARK} AS placeholder FROM lined")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _generic(spark, sf_dir).select("doc_id", "kind", "line", "start", "stop", "masked", "placeholder")
+    found = redact.detect(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "kind", "severity", "line", "start", "stop", "masked", "placeholder")
 
 
-@query(f"WITH {HITS} SELECT doc_id, CAST(line AS INT) AS line, start FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY start) AS n FROM lined) WHERE n = 1")
+@query(f"WITH {HITS} SELECT doc_id, line, kind, start FROM winners")
 def secret_best_per_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact.best_per_line(_generic(spark, sf_dir)).select("doc_id", "line", "start")
+    return redact.best_per_line(redact.detect(table(spark, sf_dir, "documents"))).select("doc_id", "line", "kind", "start")
 
 
 @query(
-    f"WITH {HITS}, one AS (SELECT doc_id, string_agg(substr(t, prev + 1, start - prev) || '<REDACTED_GENERIC_SECRET_L' || line || '>', '' ORDER BY start) AS head, max(stop) AS last, count(DISTINCT line) AS n FROM (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS prev FROM lined) GROUP BY doc_id) "
-    "SELECT d.doc_id, CASE WHEN one.doc_id IS NULL THEN text ELSE head || substr(text, last + 1) END AS sanitized, coalesce(n, 0) AS n_secrets FROM documents d LEFT JOIN one USING (doc_id)"
+    f"WITH {HITS}, chosen AS (SELECT DISTINCT l.doc_id, l.start, l.stop, {MARK.replace('kind', 'l.kind').replace('line', 'l.line')} AS mark FROM lined l JOIN winners w ON w.doc_id = l.doc_id AND w.line = l.line AND w.kind = l.kind), "
+    "spans AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM chosen), "
+    "one AS (SELECT s.doc_id, string_agg(CASE WHEN start >= prev THEN substr(text, CAST(prev + 1 AS BIGINT), CAST(start - prev AS BIGINT)) || mark ELSE '' END, '' ORDER BY start, stop) AS head, max(stop) AS last FROM spans s JOIN documents d ON d.doc_id = s.doc_id GROUP BY s.doc_id), "
+    "n AS (SELECT doc_id, count(*) AS n, arg_max(severity, sev) AS highest FROM winners GROUP BY doc_id) "
+    "SELECT d.doc_id, CASE WHEN one.doc_id IS NULL THEN text ELSE head || substr(text, last + 1) END AS sanitized, coalesce(n, 0) AS n_secrets, highest FROM documents d LEFT JOIN one USING (doc_id) LEFT JOIN n USING (doc_id)"
 )
 def secret_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact.sanitize(table(spark, sf_dir, "documents")).select("doc_id", "sanitized", "n_secrets")
+    return redact.sanitize(table(spark, sf_dir, "documents")).select("doc_id", "sanitized", "n_secrets", "highest")
 
 
-@query(f"WITH {HITS}, levels(severity) AS (VALUES ('critical'), ('high'), ('medium'), ('low')) SELECT severity, CASE severity WHEN 'low' THEN (SELECT count(*) FROM (SELECT DISTINCT doc_id, line FROM lined)) ELSE 0 END AS n FROM levels")
+@query(f"WITH {HITS}, levels(severity) AS (VALUES ('critical'), ('high'), ('medium'), ('low')) SELECT l.severity, count(w.doc_id) AS n FROM levels l LEFT JOIN winners w ON w.severity = l.severity GROUP BY l.severity")
 def secret_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = redact.best_per_line(redact.detect(table(spark, sf_dir, "documents"))).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    """The winners are counted within the row that holds them."""
+    found = redact.sanitize(table(spark, sf_dir, "documents")).select(F.explode("findings.severity").alias("severity")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
     levels = spark.createDataFrame([(x,) for x in redact.SECRET_RANK], "severity string")
     return levels.join(found, "severity", "left").na.fill(0, ["n"])
 
@@ -71,14 +88,14 @@ def line_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.format_code(F.col("text"), F.lit("turn.txt")).alias("block"))
 
 
-NORMAL = r"trim(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+NORMAL = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(f"SELECT doc_id, substr(sha256({NORMAL} || '|' || source || '|' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE CAST(doc_id % 7 AS VARCHAR) END), 1, 16) AS fingerprint, substr(sha256(source || ':' || doc_id), 1, 16) AS stable_id, substr(sha256(source || ':' || lang || ':' || doc_id || ':' || n_chars), 1, 12) AS chunk_id FROM documents")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     return table(spark, sf_dir, "documents").select(
-        "doc_id", T.fingerprint(F.substring("text", 1, 200), c("source"), c("doc_id") % 7).alias("fingerprint"), T.stable_id(c("source"), c("doc_id").cast("string")).alias("stable_id"),
+        "doc_id", T.fingerprint(c("text"), c("source"), c("doc_id") % 7).alias("fingerprint"), T.stable_id(c("source"), c("doc_id").cast("string")).alias("stable_id"),
         T.chunk_id(c("source"), c("lang"), c("doc_id"), c("n_chars")).alias("chunk_id"),
     )
 
@@ -90,8 +107,8 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {NORMAL} AS title, len(list_distinct(list_filter(string_split({NORMAL}, ' '), lambda x: x <> ''))) AS tokens FROM documents")
 def normalise_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 200)
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalise_title(head).alias("title"), F.size(T.title_tokens(head)).cast("long").alias("tokens"))
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalise_title(text).alias("title"), F.size(T.title_tokens(text)).cast("long").alias("tokens"))
 
 
 @query(
@@ -101,7 +118,7 @@ def normalise_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items meet on shared tokens; the benchmark is a small reference table."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", T.title_tokens(F.substring("text", 1, 200)).alias("t"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", T.title_tokens(F.col("text")).alias("t"))
     words = rows.select("item_id", F.explode("t").alias("w"), F.size("t").alias("n"))
     x, y = (words.select(F.col("item_id").alias(s), "w", F.col("n").alias(f"n{s}")) for s in "ab")
     both = x.join(y, "w").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))

@@ -7,46 +7,45 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File extension, language name, language id.
-LANGUAGES = """
-py Python python
-pyw Python python
-pyi Python python
-js JavaScript javascript
-jsx JavaScript javascript
-mjs JavaScript javascript
-ts TypeScript typescript
-tsx TypeScript typescript
-java Java java
-c C c
-h C c
-cpp C++ cpp
-cc C++ cpp
-cxx C++ cpp
-hpp C++ cpp
-cs C# csharp
-go Go go
-rs Rust rust
-rb Ruby ruby
-php PHP php
-swift Swift swift
-kt Kotlin kotlin
-kts Kotlin kotlin
-scala Scala scala
-sh Shell bash
-bash Shell bash
-zsh Shell bash
-sql SQL sql
-md Markdown markdown
-txt Text text
-yml YAML yaml
-yaml YAML yaml
-toml TOML toml
-json JSON json
-tf Terraform hcl
-hcl HCL hcl
-"""
-LANGUAGE_OF = {ext: (name, code) for ext, name, code in (x.split() for x in LANGUAGES.split("\n") if x)}
+# Language name and id by file extension.
+LANGUAGE_OF = {
+    "py": ("Python", "python"),
+    "pyw": ("Python", "python"),
+    "pyi": ("Python", "python"),
+    "js": ("JavaScript", "javascript"),
+    "jsx": ("JavaScript", "javascript"),
+    "mjs": ("JavaScript", "javascript"),
+    "ts": ("TypeScript", "typescript"),
+    "tsx": ("TypeScript", "typescript"),
+    "java": ("Java", "java"),
+    "c": ("C", "c"),
+    "h": ("C", "c"),
+    "cpp": ("C++", "cpp"),
+    "cc": ("C++", "cpp"),
+    "cxx": ("C++", "cpp"),
+    "hpp": ("C++", "cpp"),
+    "cs": ("C#", "csharp"),
+    "go": ("Go", "go"),
+    "rs": ("Rust", "rust"),
+    "rb": ("Ruby", "ruby"),
+    "php": ("PHP", "php"),
+    "swift": ("Swift", "swift"),
+    "kt": ("Kotlin", "kotlin"),
+    "kts": ("Kotlin", "kotlin"),
+    "scala": ("Scala", "scala"),
+    "sh": ("Shell", "bash"),
+    "bash": ("Shell", "bash"),
+    "zsh": ("Shell", "bash"),
+    "sql": ("SQL", "sql"),
+    "md": ("Markdown", "markdown"),
+    "txt": ("Text", "text"),
+    "yml": ("YAML", "yaml"),
+    "yaml": ("YAML", "yaml"),
+    "toml": ("TOML", "toml"),
+    "json": ("JSON", "json"),
+    "tf": ("Terraform", "hcl"),
+    "hcl": ("HCL", "hcl"),
+}
 DEFAULT_LANGUAGE = ("Code", "text")
 PYTHON_EXTENSIONS = ("py", "pyw", "pyi")
 

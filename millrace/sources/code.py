@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import subprocess
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -106,10 +107,14 @@ class Hosted:
     def _call(self, path: str, accept: str = "application/vnd.github+json", data: dict | None = None) -> str:
         headers = {"Accept": accept} | ({"Authorization": f"Bearer {self.token}"} if self.token else {})
         request = urllib.request.Request(self.api + path, json.dumps(data).encode() if data else None, headers)
-        with self.open_url(request, timeout=self.timeout) as answer:
-            if answer.headers.get("X-RateLimit-Remaining") == "0" and answer.status in (403, 429):
-                raise RuntimeError("rate limit reached")
-            return answer.read().decode()
+        try:
+            with self.open_url(request, timeout=self.timeout) as answer:
+                return answer.read().decode()
+        except urllib.error.HTTPError as e:
+            # Refused answers come as exceptions, with their headers.
+            if e.code in (403, 429) and e.headers.get("X-RateLimit-Remaining") == "0":
+                raise RuntimeError(f"rate limit reached, reset at {e.headers.get('X-RateLimit-Reset', 'unknown')}") from e
+            raise
 
     def repo(self, owner: str, repo: str) -> dict:
         return json.loads(self._call(f"/repos/{owner}/{repo}"))

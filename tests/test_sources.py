@@ -2,6 +2,7 @@
 
 import base64
 import io
+import urllib.error
 import json
 
 import pytest
@@ -30,18 +31,20 @@ def test_content_at_ref_falls_back_to_the_working_copy(spark):
 
 
 def test_hosted_api_and_rate_limit():
-    class Answer(io.BytesIO):
-        headers, status = {"X-RateLimit-Remaining": "0"}, 403
-
     asked = []
 
-    def opened(request, timeout):
-        asked.append((request.full_url, request.get_header("Authorization")))
-        return Answer(b"{}")
+    def refused(left):
+        def opened(request, timeout):
+            asked.append((request.full_url, request.get_header("Authorization")))
+            raise urllib.error.HTTPError(request.full_url, 403, "Forbidden", {"X-RateLimit-Remaining": left}, None)
+
+        return opened
 
-    with pytest.raises(RuntimeError):
-        code.Hosted("k", open_url=opened).repo("o", "r")
+    with pytest.raises(RuntimeError, match="rate limit"):
+        code.Hosted("k", open_url=refused("0")).repo("o", "r")
     assert asked == [("https://api.github.com/repos/o/r", "Bearer k")]
+    with pytest.raises(urllib.error.HTTPError):
+        code.Hosted("k", open_url=refused("7")).repo("o", "r")
 
 
 def test_settings():
