@@ -66,24 +66,6 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.leaders(rows, ["user_id"], ["event_id"], same, ["event_type", "slot"]).select("user_id", "position", "leader")
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col
-    rows = _events(spark, sf_dir).select(
-        e("user_id").alias("review_id"), e("event_id").alias("pos"), F.concat(F.lit("Finding "), e("event_type")).alias("title"), F.lit("").alias("description"), "severity", "confidence",
-        F.concat(F.lit("file"), (e("event_id") % 5).cast("string"), F.lit(".py")).alias("file"), (e("event_id") % 200).cast("int").alias("line_number"), F.concat(F.lit("because "), e("event_type")).alias("reasoning"),
-        F.lit("").alias("affected_code"), F.repeat(F.lit("x"), (e("event_id") % 7).cast("int")).alias("suggested_remediation"), F.concat(F.lit("tool"), (e("event_id") % 3).cast("string")).alias("tool"),
-        F.when(e("event_id") % 4 == 0, "CWE-1").alias("cwe_id"), F.lit("security").alias("category"),
-    )
-    return findings.normalise(rows, "security")
-
-
-@query()
-def merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _records(spark, sf_dir)
-    none = rows.where("false")
-    return findings.aggregate(none, rows, none).drop("merge_notes")
-
-
 _U = f"SELECT user_id, {LEVEL} AS severity, {CONFIDENCE} AS confidence, event_id, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS source_no FROM events WHERE event_type IN ('error', 'click', 'view')"
 
 

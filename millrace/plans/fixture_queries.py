@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import chunks, diff, findings, graph, loop, providers, report, rubric, syntax
+from millrace.operators import diff, findings, graph, providers, report, rubric, syntax
 from millrace.plans.catalog import query
 from millrace.sources.code import from_map
 
@@ -69,26 +69,6 @@ def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.totals(_diffs(spark))
 
 
-@query()
-def review_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.payload(chunks.chunk_changes(diff.changes(_diffs(spark))))
-
-
-@query()
-def ast_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.units(from_map(spark, SOURCES))
-
-
-@query()
-def ast_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.scopes(from_map(spark, SOURCES))
-
-
-@query()
-def syntax_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_map(spark, SOURCES).select("path", syntax.check_syntax(F.col("source"), F.col("path")).alias("r")).select("path", "r.*")
-
-
 @query("SELECT * FROM (VALUES ('pkg/a.py', 'utils.py'), ('pkg/a.py', 'pkg/__init__.py'), ('web/app.js', 'web/lib.ts'), ('utils.py', NULL), ('web/app.js', NULL)) t(src, dst)")
 def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_edges(from_map(spark, SOURCES)).select("src", "dst")
@@ -110,12 +90,6 @@ def import_edges(sources: DataFrame) -> DataFrame:
     return graph.resolve(python.unionByName(script.where(F.size("candidates") > 0)), paths).unionByName(external)
 
 
-@query()
-def fix_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, 1, "accept this", "a.py", "x = 1"), (1, 2, "SQL injection", "a.py", "y = 2")], "review_id int, finding_id int, title string, path string, code string")
-    return loop.run(rows).select("review_id", "finding_id", "attempts", "judged", "accepted", "feedback")
-
-
 @query()
 def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = from_map(spark, {"a.py": "eval(x)\nexec(y)\n"}).withColumn("review_id", F.lit(1))
