@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -20,28 +20,18 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().isDefined() else df
 
 
-def fix_prompt() -> Column:
-    feedback = F.when(F.length("feedback") > 0, F.concat(F.lit("\nFeedback: "), F.col("feedback"))).otherwise(F.lit(""))
-    return F.concat(F.lit("# Fix "), F.col("title"), F.lit("\n"), F.col("code"), feedback)
-
-
-def judge_prompt() -> Column:
-    return F.concat(F.lit("# Judge "), F.col("title"), F.lit("\n"), F.col("proposed_fix"))
-
-
 def run(findings: DataFrame, make: Callable[[], providers.Provider] = providers.Stub, most: int = MOST_REVISIONS) -> DataFrame:
     """findings: review_id, finding_id, title, path, code. One row a finding: the last fix, flags, attempts made and judged.
 
     Accepted fixes leave the loop. Only those with valid syntax are judged, in a branch of their own. After ``most`` revisions
     a last attempt is made and not judged.
     """
-    empty = F.lit("")
+    agent, empty = providers.Agent(make), F.lit("")
     open_rows = findings.withColumn("feedback", empty).withColumn("attempts", F.lit(0)).withColumn("judged", F.lit(0))
     done = None
     for revision in range(most + 1):
-        fixed = providers.parsed(providers.ask(open_rows, fix_prompt(), make), providers.FIX_JSON)
-        fixed = fixed.withColumn("proposed_fix", T.strip_fence(F.coalesce("output.proposed_fix", empty))).withColumn("explanation", F.coalesce("output.explanation", empty))
-        fixed = _cut(fixed.withColumn("attempts", F.col("attempts") + 1).withColumn("syntax", check_syntax(F.col("proposed_fix"), F.col("path"))).drop("response", "output", "valid"))
+        fixed = agent.suggest(open_rows)
+        fixed = _cut(fixed.withColumn("attempts", F.col("attempts") + 1).withColumn("syntax", check_syntax(F.col("proposed_fix"), F.col("path"))))
         if revision == most:
             last = fixed.withColumn("accepted", F.lit(None).cast("boolean")).withColumn("feedback", F.lit(f"Maximum revisions ({most}) reached."))
             done = last if done is None else done.unionByName(last)
@@ -49,9 +39,7 @@ def run(findings: DataFrame, make: Callable[[], providers.Provider] = providers.
         wrong = fixed.where("not syntax.valid").withColumn("accepted", F.lit(False))
         language = T.language(F.col("path"))["name"]
         wrong = wrong.withColumn("feedback", F.format_string("Syntax error detected: %s. Please provide syntactically valid %s code.", F.col("syntax.error"), language))
-        judged = providers.parsed(providers.ask(fixed.where("syntax.valid"), judge_prompt(), make), providers.VERDICT_JSON)
-        judged = judged.withColumn("accepted", F.coalesce("output.is_acceptable", F.lit(False))).withColumn("feedback", F.coalesce("output.feedback", empty))
-        judged = judged.withColumn("judged", F.col("judged") + 1).drop("response", "output", "valid")
+        judged = agent.critique(fixed.where("syntax.valid")).withColumn("judged", F.col("judged") + 1)
         both = _cut(judged.unionByName(wrong))
         accepted = both.where("accepted")
         done = accepted if done is None else done.unionByName(accepted)
