@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, cut, heads_of, in_bitmap
+from millrace.llm.common import connected_components, cut, heads_of, in_bitmap, removed, stored
 
 WORDS, PERCENT = 4, 85
 COUNTS = 1 << 18  # entries of the table of word counts: 1 MB, whatever the input
@@ -154,10 +154,12 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
 
     wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("_t"))
-    texts = cut(rows.join(wanted.select("node", "id", "h"), ["id", "h"]).select("node", "_t").dropDuplicates(["node"]))
+    texts, path = stored(rows.join(wanted.select("node", "id", "h"), ["id", "h"]).select("node", "_t").dropDuplicates(["node"]), "texts")
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("_t").alias("ta")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("_t").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return two.mapInPandas(check, "a long, b long")
+    found = cut(two.mapInPandas(check, "a long, b long"))
+    removed(docs.sparkSession, path)
+    return found
 
 
 def _ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,10 +280,14 @@ def _tree_pairs(rows: DataFrame, percent: int, best: bool) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, settle: bool = True) -> DataFrame:
     """id, n_shingles, component_id. ``settle``: run the trees of single blocks first; without it the result is the same."""
-    signed = cut(signatures(docs, id_col, text_col, words, percent).withColumn("node", F.monotonically_increasing_id()))
+    spark = docs.sparkSession
+    whole, path = stored(signatures(docs, id_col, text_col, words, percent).withColumn("node", F.monotonically_increasing_id()), "signatures")
+    signed = cut(whole.select("id", "h", "size", "set_key", "node"))
     known = signed.where("size > 0 and id is not null")
     classes = cut(known.groupBy("set_key").agg(F.min("id").alias("least"), F.min("node").alias("node")))
-    reps = cut(known.join(classes.select("node"), "node", "left_semi").select("node", "id", "h", "size", "prefix", "bits", "spare"))
+    nodes = cut(known.join(classes.select("node"), "node", "left_semi").select("node", "id", "h"))
+    reps, kept_path = stored(whole.join(nodes.select("node"), "node", "left_semi").select("node", "size", "prefix", "bits", "spare"), "nodes")
+    removed(spark, path)
     # Different sets under one id.
     several = known.groupBy("id").agg(F.min(F.xxhash64("set_key")).alias("x"), F.max(F.xxhash64("set_key")).alias("y")).where("x <> y").select("id")
     sets = known.join(several, "id", "left_semi").select("id", "set_key").join(classes.select("set_key", "node"), "set_key").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n"))
@@ -289,8 +295,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges = sets.join(sets.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a < b").distinct()
 
     rows = reps.select(F.explode("prefix").alias("bucket"), "node")
+    # Most members of a prefix are no other document's: they are told apart by counts, the smallest rows there are.
+    shared = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
+    rows = cut(in_bitmap(rows, "bucket", shared, "bucket").join(shared, "bucket"))
     heads = cut(heads_of(rows, "bucket", "node").select("bucket", "head", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
-    members = cut(in_bitmap(rows, "bucket", heads, "bucket").join(heads, "bucket"))
+    members = cut(rows.join(heads, "bucket"))
     own = F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int")
     leaves = reps.select("node", "size", "bits", "spare")
     columns = ["bucket", "block", "side", "node", "size", "bits", "spare", "comp"]
@@ -300,7 +309,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         every = F.sequence(F.lit(0), F.col("parts") - 1)
         single = labelled.withColumn("block", F.explode(F.when(F.col("node") == F.col("head"), every).otherwise(F.array(own)))).withColumn("side", F.lit(-1))
         proposed = cut(_tree_pairs(single.join(leaves, "node").select(*columns), percent, True).distinct())
-        edges = cut(edges.unionByName(verify(proposed, reps, docs, id_col, text_col, words, percent)))
+        edges = cut(edges.unionByName(verify(proposed, nodes, docs, id_col, text_col, words, percent)))
         comps = cut(connected_components(edges, "a", "b"))
         labelled = members.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         labelled = cut(labelled.select("bucket", "node", "comp", "parts"))
@@ -313,8 +322,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = _tree_pairs(left, percent, False).distinct()
     if settle:
         more = more.join(proposed, ["a", "b"], "left_anti")
-    edges = edges.unionByName(verify(cut(more), reps, docs, id_col, text_col, words, percent))
+    edges = edges.unionByName(verify(cut(more), nodes, docs, id_col, text_col, words, percent))
     final = cut(connected_components(edges, "a", "b"))
+    removed(spark, kept_path)
 
     at = cut(classes.join(final, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component")))
     smallest = cut(at.groupBy("component").agg(F.min("least").alias("component_id")))
