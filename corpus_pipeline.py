@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. Stages but the last return the columns of
 documents unchanged, extra columns included. Empty tables pass through. Rows with a null text have an empty text: they are no
-near copies, hold no benchmark item, weigh nothing in the mix and so are not copied by it.
+near copies, hold no benchmark item, weigh nothing in the mix and so are not copied by it. Rows of one id are one document
+where a stage links or drops by id (near copies, decontamination) and rows of their own elsewhere; rows without an id are never
+dropped as a copy or for a benchmark item.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate, mixing, ngram_join, packing, toxicity
-from millrace.llm.common import shared_path, table
+from millrace.llm.common import removed, shared_path, table
 
 #: No stage but the mixing's sizes can be said in SQL; brute-force versions are in tests/llm.
 ORACLE_SQL = None
@@ -53,9 +55,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows, read lazily from the table of the stage before; earlier stages' tables are removed once they are read."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            removed(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
