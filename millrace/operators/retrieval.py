@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.functions import text as T
 
@@ -45,6 +46,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, qid: str = "qid", iid: s
     rows = items.where(F.col(vector).isNotNull()).select(F.col(iid).alias("iid"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
     schema = f"qid {asked.schema['qid'].dataType.simpleString()}, iid {rows.schema['iid'].dataType.simpleString()}, distance double"
+    kind = to_arrow_type(asked.schema["qid"].dataType)
     found = queries.sparkSession.createDataFrame([], schema)
     for held in _blocks(asked, block):
         shared = queries.sparkSession.sparkContext.broadcast(([q for q, _ in held], np.array([v for _, v in held], "f8")))
@@ -62,7 +64,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, qid: str = "qid", iid: s
                 best = np.lexsort((np.broadcast_to(place, distance.shape), distance), axis=1)[:, :k]
                 at = best.ravel()
                 q = np.repeat(np.arange(len(ids)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), own.take(pa.array(at)), pa.array(distance[q, at])], names=["qid", "iid", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kind), own.take(pa.array(at)), pa.array(distance[q, at])], names=["qid", "iid", "distance"])
 
         found = found.unionByName(rows.mapInArrow(score, schema))
     w = Window.partitionBy("qid").orderBy("distance", "iid")

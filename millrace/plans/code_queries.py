@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import chunks, diff, findings, graph, syntax
+from millrace.operators import chunks, diff, findings, graph, search, syntax
 from millrace.plans.catalog import query, table
 from millrace.sources import store
 
@@ -116,6 +116,20 @@ def source_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve(found, paths).select("src", "module", "dst")
 
 
+_ASKED = f"(SELECT * FROM {VALID} WHERE {KEY} % 20 = 0)"
+
+
+@query(f"SELECT {KEY} AS qid, 1 AS rank, CAST(1.0 AS DOUBLE) AS relevance FROM {_ASKED}")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit embedded and indexed; each function of an id divisible by 20 is asked for by its own document, whose vector is its nearest."""
+    index = search.index_rows(syntax.units(_sources(spark, sf_dir)), lambda: search.HashEmbedder(1024))
+    path = F.element_at("metadata", F.lit("file_path"))
+    own = index.where("title like 'f%'").withColumn("qid", F.regexp_extract(path, r"(\d+)", 1).cast("long")).where("qid % 20 = 0")
+    asked = own.select("qid", F.concat_ws("\n", "title", "content").alias("query"))
+    hits = search.search_codebase(asked, index, 1, lambda: search.HashEmbedder(1024))
+    return hits.select("qid", "rank", "relevance")
+
+
 HUNKS = (
     "@@ -8,2 +8,4 @@\n     def m(self):\n+        a = 1\n+        b = 2\n-        z = 0\n         return a",
     "@@ -9,0 +10,1 @@\n+            c = ¤",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import diff, findings, graph, providers, report, rubric, syntax
+from millrace.operators import diff, findings, providers, report, rubric
 from millrace.plans.catalog import query
+from millrace.plans.pull import import_edges
 from millrace.sources.code import from_map
 
 DIFF = """diff --git a/pay.py b/pay.py
@@ -74,22 +75,6 @@ def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_edges(from_map(spark, SOURCES)).select("src", "dst")
 
 
-def import_edges(sources: DataFrame) -> DataFrame:
-    """Resolved imports of Python and script sources: src, ord, module, dst."""
-    from millrace.functions import text as T
-
-    kind = T.language(F.col("path"))["code"]
-    python = syntax.imports(sources.where(kind == "python"))
-    python = python.withColumn("candidates", graph.python_candidates(F.col("src"), F.col("module"))).withColumn("drop_unresolved", F.lit(False))
-    script = sources.where(kind.isin("javascript", "typescript")).select(F.col("path").alias("src"), F.posexplode(graph.script_imports(F.col("source"))).alias("ord", "module"))
-    near = F.col("module").startswith(".")
-    none = F.array().cast("array<string>")
-    script = script.withColumn("candidates", F.when(near, graph.script_candidates(F.col("src"), F.col("module"))).otherwise(none)).withColumn("drop_unresolved", near)
-    paths = sources.select("path")
-    external = script.where(F.size("candidates") == 0).select("src", "ord", "module", F.lit(None).cast("string").alias("dst"))
-    return graph.resolve(python.unionByName(script.where(F.size("candidates") > 0)), paths).unionByName(external)
-
-
 @query()
 def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = from_map(spark, {"a.py": "eval(x)\nexec(y)\n"}).withColumn("review_id", F.lit(1))
