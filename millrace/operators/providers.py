@@ -49,8 +49,11 @@ class Stub(Provider):
         kind = prompt.split("\n", 1)[0].strip("# ").lower()
         if kind.startswith("scan"):
             body = prompt.split("\n\n## Task", 1)[0]
-            hits = [(m[1], body[: m.start()].count("\n")) for m in re.finditer(r"\b(eval|exec|os\.system)\(", body)]
-            return json.dumps({"findings": [{"title": f"Use of {name}", "severity": "high", "confidence": "medium", "line_number": line, "category": "security"} for name, line in hits]})
+            hits = []
+            for n, line in enumerate(body.split("\n")):
+                shown = re.match(r" *(\d+) \| ", line)  # the numbers that the prompt shows, where it does
+                hits += [(name, int(shown[1]) if shown else n) for name in re.findall(r"\b(eval|exec|os\.system)\(", line)]
+            return json.dumps({"findings": [{"title": f"Use of {name}", "severity": "high", "confidence": "medium", "line_number": n, "category": "security"} for name, n in hits]})
         if kind.startswith("logic"):
             return json.dumps({"findings": []})
         if kind.startswith("fix"):

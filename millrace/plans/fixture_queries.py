@@ -75,7 +75,45 @@ def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_edges(from_map(spark, SOURCES)).select("src", "dst")
 
 
-@query()
+REPORT = """# 🔍 Code Review Report — `a.py`
+
+---
+
+## 📊 Summary
+
+| Metric | Value |
+|--------|-------|
+| Total Findings | **1** |
+| Highest Severity | **🟡 MEDIUM** |
+| Secrets Detected | `0` |
+| Sanitization Applied | ✅ Yes |
+| 🟡 Medium | 1 |
+
+---
+
+## 🚨 Findings
+
+### 🟡 Medium (1)
+
+#### 1. Use of eval
+
+**Tool(s)**: `stub` | **File**: `a.py` | **Line**: `1` | **Confidence**: `medium` *(reclassified from `high`)*
+
+
+
+<details><summary>Aggregation notes</summary>
+
+- Absorbed duplicate from stub (similarity/overlap detected).
+- Severity reclassified from high → medium by rubric.
+
+</details>
+
+---
+
+"""
+
+
+@query(f"SELECT CAST(1 AS INT) AS review_id, CAST(1 AS BIGINT) AS total_findings, 'medium' AS highest_severity, '{REPORT}' AS report")
 def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = from_map(spark, {"a.py": "eval(x)\nexec(y)\n"}).withColumn("review_id", F.lit(1))
     security = findings.normalise(providers.scan(sources).withColumn("description", F.lit("")), "security")
