@@ -63,6 +63,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
+#: Base 32 of a SHA-1: each five hexadecimal digits are four characters.
+_BASE32 = (
+    "array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST(5 * i + 1 AS INT), 5) AS INT) >> k) & 31) + 1 AS INT), 1)), '')), '')"
+)
+_OP1 = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (h)"""
+
+
+def _components(nodes: str, links: str) -> str:
+    """(id, component) of ``nodes`` (id) by ``links`` (a, b), as the closure of the links; for groups of moderate size."""
+    return f"both_ways AS (SELECT a, b FROM {links} UNION SELECT b, a FROM {links}), reach AS (SELECT id AS a, id AS b FROM {nodes} UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON w.a = r.b), component AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)"
+
+
+_OP3 = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.id < y.id AND len(x.e) = len(y.e) WHERE list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) >= 0.98),
+{_components("v", "links")}, degree AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+SELECT v.id AS vec_id, coalesce(n, 0) AS n_links, component AS component_id, v.id = component AS kept FROM v JOIN component USING (id) LEFT JOIN degree USING (id)"""
+
+_OP7 = rf"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+n AS (SELECT id, len(s) AS n FROM s), e AS (SELECT id, unnest(s) AS x FROM s), k AS (SELECT p.id AS a, q.id AS b, count(*) AS k FROM e p JOIN e q ON p.x = q.x AND p.id < q.id GROUP BY ALL),
+links AS (SELECT a, b FROM k JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= 85 * (x.n + y.n - k)), {_components("n", "links")}
+SELECT id AS doc_id, n AS n_shingles, component AS component_id FROM n JOIN component USING (id)"""
+
+#: The others have no SQL: rounding by draws, training, packing, edit distances of passages and lines, a tokenizer's pieces.
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_convert": _OP1,
+    "op3_vector_dedup": _OP3,
+    "op7_ngram_jaccard": _OP7,
     "op8_secret_scan": secrets.oracle(),
 }
