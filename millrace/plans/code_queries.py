@@ -122,11 +122,11 @@ _ASKED = f"(SELECT * FROM {VALID} WHERE {KEY} % 20 = 0)"
 @query(f"SELECT {KEY} AS qid, 1 AS rank, CAST(1.0 AS DOUBLE) AS relevance FROM {_ASKED}")
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every unit embedded and indexed; each function of an id divisible by 20 is asked for by its own document, whose vector is its nearest."""
-    index = search.index_rows(syntax.units(_sources(spark, sf_dir)), lambda: search.HashEmbedder(1024))
+    index = search.index_rows(syntax.units(_sources(spark, sf_dir)))
     path = F.element_at("metadata", F.lit("file_path"))
     own = index.where("title like 'f%'").withColumn("qid", F.regexp_extract(path, r"(\d+)", 1).cast("long")).where("qid % 20 = 0")
     asked = own.select("qid", F.concat_ws("\n", "title", "content").alias("query"))
-    hits = search.search_codebase(asked, index, 1, lambda: search.HashEmbedder(1024))
+    hits = search.search_codebase(asked, index, 1)
     return hits.select("qid", "rank", "relevance")
 
 
