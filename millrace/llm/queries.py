@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, line_dedup, mixing, ngram_join, packing, secrets, tokencount, toxicity, vector_dedup, warc
+from millrace.llm import codes, decontaminate, line_dedup, mixing, ngram_join, packing, prefix_trie, repeats, secrets, tokencount, toxicity, vector_dedup, warc
 from millrace.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_convert": op1_warc_convert,
     "op2_pivotal_mix": op2_pivotal_mix,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 #: Base 32 of a SHA-1: each five hexadecimal digits are four characters.
@@ -81,7 +96,8 @@ links AS (SELECT x.id AS a, y.id AS b FROM ok x JOIN ok y ON x.label = y.label A
 {_components("v", "links")}, degree AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
 SELECT v.id AS vec_id, coalesce(n, 0) AS n_links, component AS component_id, v.id = component AS kept FROM v JOIN component USING (id) LEFT JOIN degree USING (id)"""
 
-_OP7 = rf"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+_OP7 = rf"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
 n AS (SELECT id, len(s) AS n FROM s), e AS (SELECT id, unnest(s) AS x FROM s), k AS (SELECT p.id AS a, q.id AS b, count(*) AS k FROM e p JOIN e q ON p.x = q.x AND p.id < q.id GROUP BY ALL),
 links AS (SELECT a, b FROM k JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= 85 * (x.n + y.n - k)), {_components("n", "links")}
@@ -93,4 +109,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_vector_dedup": _OP3,
     "op7_ngram_jaccard": _OP7,
     "op8_secret_scan": secrets.oracle(),
+    "op11_vector_codes": codes.oracle(),
+    "op12_prefix_trie": prefix_trie.oracle(),
+    "op13_substring_dedup": repeats.oracle(),
 }
