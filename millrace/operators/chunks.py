@@ -6,30 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-
-
-def greedy_groups(df: DataFrame, keys: list[str], order: list[str], same: Column, size: Column, most: int) -> DataFrame:
-    """``df`` with ``position`` and ``group_no`` from 1: a group ends when ``same`` changes or the next row would pass ``most``.
-
-    Whether a row opens a group depends on all before it, so it is a fold over the ordered sizes of a key; only sizes and the
-    compared value are gathered, a few bytes a row.
-    """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("position", F.row_number().over(w)).withColumn("_same", same).withColumn("_size", size.cast("long"))
-    kind = rows.schema["_same"].dataType.simpleString()
-    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "_same", "_size"))).alias("_rows"))
-
-    def step(s: Column, x: Column) -> Column:
-        opens = (s["n"] == 0) | ~s["same"].eqNullSafe(x["_same"]) | (s["size"] + x["_size"] > most)
-        n = s["n"] + F.when(opens, 1).otherwise(0)
-        return F.struct(n.alias("n"), x["_same"].alias("same"), (F.when(opens, F.lit(0)).otherwise(s["size"]) + x["_size"]).cast("long").alias("size"), F.concat(s["out"], F.array(n)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast(kind).alias("same"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("out"))
-    groups = lists.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.posexplode(F.aggregate("_rows", start, step, lambda s: s["out"])).alias("_p", "group_no"))
-    on = F.col("position") == F.col("_p") + 1
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(groups, on).drop("_p", "_same", "_size", *(f"_k{i}" for i in range(len(keys))))
+from millrace.operators import ordered
 
 
 def chunk_changes(changes: DataFrame, key: str = "review_id", max_chars: int = 4000, python_only: bool = False, merge: bool = True) -> DataFrame:
@@ -37,7 +14,7 @@ def chunk_changes(changes: DataFrame, key: str = "review_id", max_chars: int = 4
     rows = changes.where("is_python") if python_only else changes
     rows = rows.withColumn("scope", T.display_scope(F.col("class_name"), F.col("function_name")))
     if merge:
-        rows = greedy_groups(rows, [key], ["pos"], F.struct("file_path", "scope"), F.length("diff_content"), max_chars)
+        rows = ordered.greedy_groups(rows, [key], ["pos"], F.struct("file_path", "scope"), F.length("diff_content"), max_chars)
     else:
         rows = rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).withColumn("group_no", F.col("position"))
     item = F.struct("position", "diff_content", "added_lines", "removed_lines")

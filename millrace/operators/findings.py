@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.schema import FINDING_DDL, SEVERITIES, confidence_rank, lookup, severity_rank
+from millrace.operators import ordered
+from millrace.schema import FINDING_DDL, SEVERITIES, SEVERITY_RANK, confidence_rank, lookup, severity_rank
+from millrace.sources.shared import removed
 
 TITLE_LEAST = 0.72
 NEAR_LINES = 5
@@ -50,79 +52,81 @@ def union_in_order(*streams: DataFrame) -> DataFrame:
     return out
 
 
-def matches(a: Column, b: Column) -> Column:
-    """Whether two records of a group are one finding: fingerprint, similar title in a file, or near lines of a category."""
-    file = a["file"] == b["file"]
-    title = T.jaccard(a["tokens"], b["tokens"]) >= TITLE_LEAST
-    end = lambda x: F.coalesce(F.nullif(x["end_line"], F.lit(0)), x["line_number"])
-    near = (a["line_number"] - NEAR_LINES <= end(b) + NEAR_LINES) & (b["line_number"] - NEAR_LINES <= end(a) + NEAR_LINES)
-    return F.coalesce(a["fingerprint"] == b["fingerprint"], F.lit(False)) | (file & title) | F.coalesce(file & (a["category"] == b["category"]) & near, F.lit(False))
+#: When two records of a group are one finding: fingerprint, similar title in a file, or near lines of a category.
+SAME = (ordered.Rule(("fingerprint",)), ordered.Rule(("file",), alike=("tokens", TITLE_LEAST)), ordered.Rule(("file", "category"), near=("line_number", "_last_line", 2 * NEAR_LINES)))
 
 
-def leaders(df: DataFrame, keys: list[str], order: list[str], same=matches, fields: list[str] | None = None) -> DataFrame:
-    """``df`` with ``leader``: the position, by ``order`` within ``keys``, of the first earlier leader that the row matches, or its own.
+def leaders(df: DataFrame, keys: list[str], order: list[str], rules: tuple[ordered.Rule, ...] = SAME) -> DataFrame:
+    """``df`` with ``position`` and ``leader``, the position of the first earlier leader within ``keys`` that the row matches, or its own."""
+    if rules is not SAME:
+        return ordered.leaders(df, keys, order, rules)
+    last = F.coalesce(F.nullif(F.col("end_line"), F.lit(0)), F.col("line_number"))
+    return ordered.leaders(df.withColumn("_last_line", last), keys, order, rules).drop("_last_line")
 
-    Matching needs equal keys, so groups are independent; each is one ordered fold over its leaders.
+
+#: Ranks of severities, lowest first, as they can rise within a group.
+LEVELS = sorted(set(SEVERITY_RANK.values()) | {0})
+
+
+def merge(rows: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a leader from rows with ``position`` and ``leader``: the absorbed records merged into it, in order. ``keep``: further columns of the leader.
+
+    The state of a group is mergeable, so it is combined before the shuffle and no group's records are gathered: the first record, the first
+    record of the highest severity and confidence, the longest remediation, the first CWE that isn't empty, and the first record of each
+    severity level, from which the notes of rises follow. Two parts depend on the order of more than that. Reasons are
+    appended unless the text so far holds them; a repeated reason is held, so only a group's distinct (reason, tool, tools) are folded in order,
+    and what is folded becomes the result's text. The notes name the tool of each absorbed record, so positions are gathered by tool: as long as the result's list.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("_ord", F.row_number().over(w))
-    fields = fields or ["file", "category", "fingerprint", "line_number", "end_line", "tokens"]
-    item = F.struct(F.col("_ord").alias("ord"), *fields)
-    groups = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
-    kind = groups.schema["_rows"].dataType.simpleString()
-    step = lambda s, x: F.struct(
-        F.when(F.exists(s["leaders"], lambda p: same(p, x)), s["leaders"]).otherwise(F.concat(s["leaders"], F.array(x))).alias("leaders"),
-        F.concat(s["of"], F.array(F.coalesce(F.get(F.filter(s["leaders"], lambda p: same(p, x)), 0)["ord"], x["ord"]))).alias("of"),
-    )
-    start = F.struct(F.array().cast(kind).alias("leaders"), F.array().cast("array<int>").alias("of"))
-    of = groups.select(*keys, F.posexplode(F.aggregate("_rows", start, step, lambda s: s["of"])).alias("_p", "leader"))
-    of = of.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), (F.col("_p") + 1).alias("_o"), "leader")
-    on = F.col("_ord") == F.col("_o")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(of, on).drop("_o", *(f"_k{i}" for i in range(len(keys)))).withColumnRenamed("_ord", "position")
-
-
-def merge(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a leader from rows with ``position`` and ``leader``: the fold of the absorbed records into it, in order."""
     names = [x.strip().split(" ")[0] for x in FINDING_DDL.split(",")]
-    records = rows.groupBy(*keys, "leader").agg(F.array_sort(F.collect_list(F.struct("position", *names))).alias("r"))
-    state = f"struct<{', '.join(f'{n}:{t}' for n, t in (x.strip().split(' ') for x in FINDING_DDL.split(',')))}>"
-
-    def absorb(p: Column, a: Column) -> Column:
-        more = severity_rank(a["severity"]) > severity_rank(p["severity"])
-        surer = confidence_rank(a["confidence"]) > confidence_rank(p["confidence"])
-        new_reason = (a["reasoning"] != "") & ~F.contains(p["reasoning"], a["reasoning"])
-        reason = F.when(p["reasoning"] == "", a["reasoning"]).otherwise(F.concat(p["reasoning"], F.lit("\n\n["), a["primary_tool"], F.lit("] "), a["reasoning"]))
-        # The tool named in the notes is that of the absorbed record.
-        raised = F.format_string("Severity elevated from %s → %s by %s.", p["severity"], a["severity"], a["primary_tool"])
-        notes = F.concat(p["merge_notes"], F.when(more, F.array(raised)).otherwise(F.array().cast("array<string>")), F.array(F.format_string("Absorbed duplicate from %s (similarity/overlap detected).", a["primary_tool"])))
-        pick = {
-            "severity": F.when(more, a["severity"]).otherwise(p["severity"]), "reported_severity": F.when(more, a["reported_severity"]).otherwise(p["reported_severity"]),
-            "confidence": F.when(surer, a["confidence"]).otherwise(p["confidence"]), "reported_confidence": F.when(surer, a["reported_confidence"]).otherwise(p["reported_confidence"]),
-            "primary_tool": F.when(surer, a["primary_tool"]).otherwise(p["primary_tool"]), "source_tools": F.array_union(p["source_tools"], a["source_tools"]),
-            "cwe_id": F.when(F.coalesce(p["cwe_id"], F.lit("")) == "", F.coalesce(F.nullif(a["cwe_id"], F.lit("")), p["cwe_id"])).otherwise(p["cwe_id"]),
-            "reasoning": F.when(new_reason, reason).otherwise(p["reasoning"]),
-            "suggested_remediation": F.when(F.length(a["suggested_remediation"]) > F.length(p["suggested_remediation"]), a["suggested_remediation"]).otherwise(p["suggested_remediation"]),
-            "merge_notes": notes, "duplicate_count": p["duplicate_count"] + 1,
-        }
-        return F.struct(*(pick.get(n, p[n]).alias(n) for n in names)).cast(state)
-
-    first = F.struct(*(F.element_at("r", 1)[n].alias(n) for n in names)).cast(state)
-    merged = records.select(*keys, "leader", F.aggregate(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), first, absorb).alias("m"))
-    return merged.select(*keys, "leader", "m.*")
+    group = [*keys, "leader"]
+    rank, sure = severity_rank(F.col("severity")), confidence_rank(F.col("confidence"))
+    before = -F.col("position")
+    states = {
+        "_first": (F.min, F.struct("position", *(F.col(n).alias(f"_{n}") for n in (*names, *keep)))),
+        "_severe": (F.max, F.struct(rank.alias("rank"), before.alias("before"), F.col("severity").alias("_severity"), F.col("reported_severity").alias("_reported"))),
+        "_sure": (F.max, F.struct(sure.alias("rank"), before.alias("before"), F.col("confidence").alias("_confidence"), F.col("reported_confidence").alias("_reported"), F.col("primary_tool").alias("_tool"))),
+        "_fix": (F.max, F.struct(F.length("suggested_remediation").alias("length"), before.alias("before"), F.col("suggested_remediation").alias("_text"))),
+        "_cwe": (F.min, F.when(F.coalesce("cwe_id", F.lit("")) != "", F.struct("position", F.col("cwe_id").alias("_id")))),
+    } | {f"_level{k}": (F.min, F.when(rank == k, F.struct("position", F.lit(k).alias("rank"), F.col("severity").alias("_severity"), F.col("primary_tool").alias("_tool")))) for k in LEVELS}
+    kinds = rows.groupBy(*group, F.col("reasoning").alias("_reason"), F.col("primary_tool").alias("_by"), F.col("source_tools").alias("_tools")).agg(*(f(x).alias(n) for n, (f, x) in states.items()), F.collect_list("position").alias("_at"))
+    kind = F.struct(F.array_min("_at").alias("position"), "_reason", "_by", "_tools", "_at")
+    g = kinds.groupBy(*group).agg(*(f(n).alias(n) for n, (f, _) in states.items()), F.array_sort(F.collect_list(kind)).alias("_kinds"))
+
+    def reason(s: Column, x: Column) -> Column:
+        new = (x["_reason"] != "") & ~F.contains(s, x["_reason"])
+        return F.when(F.coalesce(new, F.lit(False)), F.when(s == "", x["_reason"]).otherwise(F.concat(s, F.lit("\n\n["), x["_by"], F.lit("] "), x["_reason"]))).otherwise(s)
+
+    # The first records of the levels, in order; those above all before them are rises.
+    levels = F.array_sort(F.array_compact(F.array(*(F.col(f"_level{k}") for k in LEVELS))))
+    rise = lambda x, i: F.struct(
+        x["position"].alias("position"), x["rank"].alias("rank"), F.coalesce(F.array_max(F.transform(F.slice("_levels", 1, i), lambda e: e["rank"])), F.lit(-1)).alias("above"),
+        x["_severity"].alias("to"), x["_tool"].alias("tool"),
+    )
+    g = g.withColumn("_levels", levels).withColumn("_rises", F.filter(F.transform("_levels", rise), lambda e: e["rank"] > e["above"]))
+    note = lambda p, tool: F.concat(
+        F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.size("_rises"), F.lit(2))), lambda i: F.get("_rises", i - 1)["position"] == p), lambda i: F.format_string("Severity elevated from %s → %s by %s.", F.get("_rises", i - 2)["to"], F.get("_rises", i - 1)["to"], tool)),
+        F.array(F.format_string("Absorbed duplicate from %s (similarity/overlap detected).", tool)),
+    )
+    absorbed = F.array_sort(F.flatten(F.transform("_kinds", lambda x: F.transform(x["_at"], lambda p: F.struct(p.alias("position"), x["_by"].alias("_tool"))))))
+    g = g.withColumn("_absorbed", F.slice(absorbed, 2, F.greatest(F.size(absorbed) - 1, F.lit(0))))
+    first = lambda n: F.col(f"_first._{n}")
+    values = {
+        "severity": F.col("_severe._severity"), "reported_severity": F.col("_severe._reported"), "confidence": F.col("_sure._confidence"), "reported_confidence": F.col("_sure._reported"), "primary_tool": F.col("_sure._tool"),
+        "source_tools": F.array_distinct(F.flatten(F.transform("_kinds", lambda x: x["_tools"]))), "cwe_id": F.coalesce(F.col("_cwe._id"), first("cwe_id")),
+        "reasoning": F.aggregate(F.slice("_kinds", 2, F.greatest(F.size("_kinds") - 1, F.lit(0))), first("reasoning"), reason), "suggested_remediation": F.col("_fix._text"),
+        "merge_notes": F.concat(first("merge_notes"), F.flatten(F.transform("_absorbed", lambda x: note(x["position"], x["_tool"])))), "duplicate_count": (first("duplicate_count") + F.size("_absorbed")).cast("int"),
+    }
+    return g.select(*group, *(values.get(n, first(n)).alias(n) for n in names), *(first(n).alias(n) for n in keep))
 
 
 def aggregate(static: DataFrame, security: DataFrame, logic: DataFrame, key: str = "review_id") -> DataFrame:
     """Normalised streams with ``key`` and ``pos``: united, deduplicated by file, merged, most severe first."""
     rows = union_in_order(static, security, logic).withColumn("tokens", T.title_tokens(F.col("title")))
-    w = Window.partitionBy(key).orderBy("source_no", "pos")
-    rows = rows.withColumn("ordinal", F.row_number().over(w))
+    rows, path = ordered.positions(rows, [key], ["source_no", "pos"], "ordinal")
     led = leaders(rows, [key, "file"], ["ordinal"])
-    first = led.where("position = leader").select(key, "file", "leader", F.col("ordinal"))
-    merged = merge(led.withColumn("_file", F.col("file")), [key, "_file"])
-    out = merged.join(first.withColumnRenamed("file", "_file"), [key, "_file", "leader"]).drop("_file", "leader")
-    return in_order(out, key)
+    removed(led.sparkSession, path)
+    merged = merge(led.withColumn("_file", F.col("file")), [key, "_file"], ("ordinal",))
+    return in_order(merged.drop("_file", "leader"), key)
 
 
 def in_order(df: DataFrame, key: str = "review_id") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import chunks, retrieval, syntax
+from millrace.operators import chunks, nearest, retrieval, syntax
 from millrace.sources.store import Table, index_summary, unit_documents
 
 #: Hits fetched beyond those asked for, and in all, so that the query's own unit and weak ones can be left out.
@@ -101,11 +101,20 @@ def indexed_count(target: Table) -> int:
     return target.count()
 
 
-def search_codebase(queries: DataFrame, index: DataFrame, k: int = 5, make: Callable[[], Embedder] = HashEmbedder, category: str | None = "codebase") -> DataFrame:
-    """queries (qid, query) against an index: qid, id, title, content, metadata, distance, relevance, rank."""
-    rows = index if category is None else index.where(F.col("category") == category)
+def search_codebase(queries: DataFrame, index: DataFrame | nearest.Index, k: int = 5, make: Callable[[], Embedder] = HashEmbedder, category: str | None = "codebase", share: float = 0.9) -> DataFrame:
+    """queries (qid, query) against an index: qid, id, title, content, metadata, distance, relevance, rank.
+
+    A table of rows is scanned whole, so the result is exact. A stored cosine index (``nearest.build`` of such rows) reads the lists that held
+    ``share`` of the true neighbours when it was built.
+    """
+    rows = index.rows() if isinstance(index, nearest.Index) else index
+    kind = F.lit(True) if category is None else F.col("category") == category
     asked = queries.select("qid", embed_texts(F.col("query"), make).alias("embedding"))
-    hits = retrieval.top_k(asked, rows, k, iid="id").withColumnRenamed("iid", "id")
+    if isinstance(index, nearest.Index):
+        hits = nearest.search(asked, index, k, iid="id", where=kind, share=share).withColumnRenamed("iid", "id")
+    else:
+        hits = retrieval.top_k(asked, rows.where(kind), k, iid="id").withColumnRenamed("iid", "id")
+    rows = rows.where(kind)
     return hits.join(rows.select("id", "title", "content", "severity", "metadata"), "id")
 
 

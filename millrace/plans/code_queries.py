@@ -203,7 +203,7 @@ _CHUNKS = (
 def review_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks.chunk_changes(_changes(spark, sf_dir))
     return rows.select(
-        "review_id", "group_no", "file_path", "change_type", "scope", "old_start", "old_lines", "new_start", "new_lines", F.size("added_lines").alias("n_added"), F.size("removed_lines").alias("n_removed"),
+        "review_id", F.col("group_no").cast("int").alias("group_no"), "file_path", "change_type", "scope", "old_start", "old_lines", "new_start", "new_lines", F.size("added_lines").alias("n_added"), F.size("removed_lines").alias("n_removed"),
         "diff_content", "estimated_tokens", "chunk_id",
     )
 

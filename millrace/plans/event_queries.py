@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import findings, report, retrieval, rubric, state
+from millrace.operators import findings, ordered, report, retrieval, rubric, state
 from millrace.plans.catalog import query, table
 
 #: Event types graded as severities of findings.
@@ -62,8 +62,8 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy leaders by user: same type, at most ten slots of ten minutes apart."""
     slot = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 600)
     rows = table(spark, sf_dir, "events").withColumn("slot", slot)
-    same = lambda a, b: (a["event_type"] == b["event_type"]) & (F.abs(a["slot"] - b["slot"]) <= 10)
-    return findings.leaders(rows, ["user_id"], ["event_id"], same, ["event_type", "slot"]).select("user_id", "position", "leader")
+    rules = (ordered.Rule(("event_type",), near=("slot", "slot", 10)),)
+    return findings.leaders(rows, ["user_id"], ["event_id"], rules).select("user_id", F.col("position").cast("int").alias("position"), F.col("leader").cast("int").alias("leader"))
 
 
 _U = f"SELECT user_id, {LEVEL} AS severity, {CONFIDENCE} AS confidence, event_id, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS source_no FROM events WHERE event_type IN ('error', 'click', 'view')"

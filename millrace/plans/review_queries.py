@@ -33,7 +33,7 @@ def finding_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         "user_id", "event_id", file.alias("file"), (c("event_id") % 2).cast("string").alias("category"), T.fingerprint(title, file, line).alias("fingerprint"), line.alias("line_number"), F.lit(None).cast("int").alias("end_line"), T.title_tokens(title).alias("tokens")
     )
-    return findings.leaders(rows, ["user_id"], ["event_id"]).select("user_id", "position", "leader")
+    return findings.leaders(rows, ["user_id"], ["event_id"]).select("user_id", c("position").cast("int").alias("position"), c("leader").cast("int").alias("leader"))
 
 
 @query("SELECT p_type AS kind, count(*) AS calls, CAST(0 AS BIGINT) AS failed, sum(greatest(1, length(p_name) // 4))::BIGINT AS prompt_tokens, sum(length('Summary of ' || length(p_name) || ' characters.') // 4)::BIGINT AS completion_tokens, sum(greatest(1, length(p_name) // 4) + length('Summary of ' || length(p_name) || ' characters.') // 4)::BIGINT AS total_tokens FROM part GROUP BY 1")

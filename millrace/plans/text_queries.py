@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import chunks, graph, redact, retrieval, rubric
+from millrace.operators import chunks, graph, ordered, redact, retrieval, rubric
 from millrace.plans.catalog import query, table
 from millrace.schema import lookup
 
@@ -179,8 +179,8 @@ def part_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT f.conv_id, CAST(g AS INT) AS group_no, count(*) AS turns, CAST(sum(o.s) AS BIGINT) AS chars FROM f JOIN o ON o.conv_id = f.conv_id AND o.p = f.p GROUP BY f.conv_id, g"
 )
 def char_budget_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks.greedy_groups(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.lit("conversation"), F.length("text"), 900)
-    return rows.groupBy("conv_id", "group_no").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("chars"))
+    rows = ordered.greedy_groups(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.lit("conversation"), F.length("text"), 900)
+    return rows.groupBy("conv_id", F.col("group_no").cast("int").alias("group_no")).agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("chars"))
 
 
 def _budget_sql(keep: str) -> str:

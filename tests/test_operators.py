@@ -8,7 +8,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import chunks, diff, findings, graph, loop, providers, redact, report, retrieval, rubric, state, syntax
+from millrace.operators import chunks, diff, findings, graph, loop, ordered, providers, redact, report, retrieval, rubric, state, syntax
 from millrace.plans.fixture_queries import DIFF, SOURCES, import_edges
 from millrace.sources import code, store
 
@@ -109,7 +109,7 @@ def test_rubric(spark, title, category, reported, want):
 def test_greedy_chunks_and_prefixes(spark):
     sizes = [("f", 60), ("f", 30), ("f", 20), ("g", 10), ("f", 10)]
     rows = spark.createDataFrame([(1, i, "a", s, n) for i, (s, n) in enumerate(sizes)], "review_id int, pos int, file string, scope string, n int")
-    out = chunks.greedy_groups(rows, ["review_id"], ["pos"], F.struct("file", "scope"), F.col("n"), 100).orderBy("pos")
+    out = ordered.greedy_groups(rows, ["review_id"], ["pos"], F.struct("file", "scope"), F.col("n"), 100).orderBy("pos")
     assert [r.group_no for r in out.collect()] == [1, 1, 2, 3, 4]
     cut = lambda s, first: [r.s for r in chunks.within_budget(spark.createDataFrame([(1, i, n) for i, n in enumerate(s)], "k int, i int, s int"), ["k"], ["i"], "s", 100, first).orderBy("i").collect()]
     assert cut([150, 10], True) == [150] and cut([40, 60, 1], True) == [40, 60] and cut([150, 10], False) == []
