@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import intervals
+from millrace.sources.shared import removed, stored
 
 # The header of a hunk, and what looks like the definition of a function or class.
 HUNK = r"^@@\s+-(\d+)(?:,(\d+))?\s+\+(\d+)(?:,(\d+))?\s+@@(?:\s*(.*))?$"
@@ -13,6 +15,10 @@ FUNCTION = r"(?:def|function|func|fn)\s+([a-zA-Z_$][a-zA-Z0-9_$]*)|(?:const|let|
 CLASS = r"(?:class|struct|interface|type)\s+([a-zA-Z_$][a-zA-Z0-9_$]*)"
 
 
+#: Positions of a file's hunks: a file begins at its number times this.
+FILE = 1 << 32
+
+
 def _group(text: Column, pattern: str, n: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
 
@@ -78,9 +84,11 @@ def changes(diffs: DataFrame, scopes: DataFrame | None = None, key: str = "revie
 
     ``scopes``: key, path, name, qualname, parent_class, start_line, end_line, is_class, ord; of the new side, or the old one of deleted files.
     """
-    rows = hunks(diffs, key, text_col)
+    rows, tables = hunks(diffs, key, text_col), []
     if scopes is not None:
-        rows = rows.join(enclosing(rows, scopes, key), [key, "file_no", "hunk_no"], "left")
+        # Diffs and sources are parsed once each; what follows reads their rows several times.
+        (rows, a), (scopes, b) = stored(rows, "hunks"), stored(scopes, "scopes")
+        rows, tables = rows.join(enclosing(rows, scopes, key), [key, "file_no", "hunk_no"], "left"), [a, b]
     else:
         rows = rows.withColumns({"_f": F.lit(None).cast("string"), "_c": F.lit(None).cast("string")})
     every = F.concat("added_lines", "removed_lines", "_lines")
@@ -91,30 +99,36 @@ def changes(diffs: DataFrame, scopes: DataFrame | None = None, key: str = "revie
         F.when(by_lines, F.coalesce(_first(every, class_name), class_name(F.col("hint")), F.col("_c"))).otherwise(F.coalesce(class_name(F.col("hint")), F.col("_c")))
     )
     rows = rows.withColumns({"function_name": function, "class_name": cls})
-    rows = rows.withColumn("pos", F.col("file_no") * 1_000_000 + F.col("hunk_no"))
-    return rows.select(key, "pos", F.col("path").alias("file_path"), "old_path", "change_type", "is_python", "function_name", "class_name", "old_start", "old_lines", "new_start", "new_lines", "diff_content", "added_lines", "removed_lines", "header")
+    rows = rows.withColumn("pos", F.col("file_no") * F.lit(FILE) + F.col("hunk_no"))
+    rows = rows.select(key, "pos", F.col("path").alias("file_path"), "old_path", "change_type", "is_python", "function_name", "class_name", "old_start", "old_lines", "new_start", "new_lines", "diff_content", "added_lines", "removed_lines", "header")
+    if tables:
+        rows, _ = stored(rows, "changes")
+        removed(rows.sparkSession, *tables)
+    return rows
 
 
 def enclosing(rows: DataFrame, scopes: DataFrame, key: str = "review_id") -> DataFrame:
     """Per hunk the innermost function (``_f``) and its class (``_c``): most changed lines within, then smallest span, then first.
 
-    Lines meet scopes on key and path; only hunks without changed lines, or whose lines hit nothing, fall back to their span.
+    Lines meet the scopes that hold them through bins of a hierarchy of widths, so a file of many scopes is no quadratic join. Hunks
+    without changed lines, or whose lines hit nothing, fall back to the scopes that their span overlaps.
     """
     gone = F.col("change_type") == "deleted"
     at = F.when(gone, F.col("removed_at")).otherwise(F.col("added_at"))
     start = F.when(gone, F.col("old_start")).otherwise(F.col("new_start"))
     count = F.when(gone, F.col("old_lines")).otherwise(F.col("new_lines"))
-    base = rows.where("is_python").select(key, "file_no", "hunk_no", "path", at.alias("at"), F.greatest(F.lit(1), start).alias("lo"), (start + F.greatest(F.lit(1), count) - 1).alias("hi"))
-    base = base.withColumn("hi", F.greatest("lo", "hi"))
-    s = scopes.withColumn("span", F.col("end_line") - F.col("start_line"))
+    low = F.greatest(F.lit(1), start)
     ids = [key, "file_no", "hunk_no"]
-    hit = base.select(*ids, "path", F.explode("at").alias("line")).join(s, [key, "path"]).where("line between start_line and end_line")
-    scored = hit.groupBy(*ids, "ord", "name", "parent_class", "is_class", "span").agg(F.count(F.lit(1)).alias("hits"))
-    spanned = base.join(scored.select(*ids).distinct(), ids, "left_anti").join(s, [key, "path"]).where("end_line >= lo and start_line <= hi")
-    spanned = spanned.select(*ids, "ord", "name", "parent_class", "is_class", "span", F.lit(0).cast("long").alias("hits"))
-    w = Window.partitionBy(*ids).orderBy("is_class", F.desc("hits"), "span", "ord")
-    best = scored.unionByName(spanned).withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return best.select(*ids, F.when(~F.col("is_class"), F.col("name")).alias("_f"), F.when(F.col("is_class"), F.col("name")).otherwise(F.col("parent_class")).alias("_c"))
+    base = rows.where("is_python").select(*ids, "path", at.alias("at"), low.alias("lo"), F.greatest(low, start + F.greatest(F.lit(1), count) - 1).alias("hi"))
+    s = scopes.select(key, "path", "ord", "name", "parent_class", "is_class", "start_line", "end_line", (F.col("end_line") - F.col("start_line")).alias("span"))
+    what = ["ord", "name", "parent_class", "is_class", "span"]
+    hit = intervals.containing(base.select(*ids, "path", F.explode("at").alias("line")), s, [key, "path"], "line", "start_line", "end_line").withColumn("hit", F.lit(1))
+    near = intervals.overlapping(base.select(*ids, "path", "lo", "hi"), s, [key, "path"], ("lo", "hi"), ("start_line", "end_line")).withColumn("hit", F.lit(0))
+    scored = hit.select(*ids, *what, "hit").unionByName(near.select(*ids, *what, "hit")).groupBy(*ids, *what).agg(F.sum("hit").alias("hits"))
+    # A scope that holds no changed line counts only where none does.
+    order = F.struct((F.col("hits") == 0).alias("none"), "is_class", (-F.col("hits")).alias("hits"), "span", "ord")
+    best = scored.groupBy(*ids).agg(F.min_by(F.struct("name", "is_class", "parent_class"), order).alias("s"))
+    return best.select(*ids, F.when(~F.col("s.is_class"), F.col("s.name")).alias("_f"), F.when(F.col("s.is_class"), F.col("s.name")).otherwise(F.col("s.parent_class")).alias("_c"))
 
 
 def totals(diffs: DataFrame, key: str = "review_id", text_col: str = "diff") -> DataFrame:

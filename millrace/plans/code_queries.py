@@ -157,11 +157,11 @@ _C = duck("C¤")
 #: pos, file, type, python, function, class, old start and lines, new start and lines, added, removed, text.
 _CHANGE_ROWS = (
     (0, "src/m¤.py", "modified", "inner", _C, 8, 2, 8, 4, 2, 1, HUNKS[0]), (1, "src/m¤.py", "modified", "inner", _C, 9, 0, 10, 1, 1, 0, HUNKS[1]), (2, "src/m¤.py", "modified", "f¤", "NULL", 14, 1, 15, 2, 1, 0, HUNKS[2]),
-    (3, "src/m¤.py", "modified", None, "NULL", 40, 1, 41, 1, 1, 1, HUNKS[3]), (1_000_000, "web/x¤.js", "added", "go¤", "NULL", 0, 0, 1, 2, 2, 0, SCRIPT_HUNK),
+    (3, "src/m¤.py", "modified", None, "NULL", 40, 1, 41, 1, 1, 1, HUNKS[3]), (diff.FILE, "web/x¤.js", "added", "go¤", "NULL", 0, 0, 1, 2, 2, 0, SCRIPT_HUNK),
 )
 _CHANGES = " UNION ALL ".join(
-    f"SELECT {KEY} AS review_id, {KEY}, {pos} AS pos, {duck(path)} AS file_path, '{kind}' AS change_type, {str(path.endswith('.py')).lower()} AS is_python, {duck(f) if f else 'NULL'} AS function_name, {cls} AS class_name, {a} AS old_start, {b} AS old_lines, {x} AS new_start, {y} AS new_lines, {p} AS n_added, {m} AS n_removed, {duck(text)} AS diff_content "
-    f"FROM {VALID}{' WHERE ' + KEY + ' % 5 = 0' if pos >= 1_000_000 else ''}"
+    f"SELECT {KEY} AS review_id, {KEY}, CAST({pos} AS BIGINT) AS pos, {duck(path)} AS file_path, '{kind}' AS change_type, {str(path.endswith('.py')).lower()} AS is_python, {duck(f) if f else 'NULL'} AS function_name, {cls} AS class_name, {a} AS old_start, {b} AS old_lines, {x} AS new_start, {y} AS new_lines, {p} AS n_added, {m} AS n_removed, {duck(text)} AS diff_content "
+    f"FROM {VALID}{' WHERE ' + KEY + ' % 5 = 0' if pos >= diff.FILE else ''}"
     for pos, path, kind, f, cls, a, b, x, y, p, m, text in _CHANGE_ROWS
 )
 
@@ -171,7 +171,7 @@ def review_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hunks with the innermost scope of their added lines, from parsed sources; scripts by their text."""
     rows = _changes(spark, sf_dir)
     return rows.select(
-        "review_id", F.col("pos").cast("int").alias("pos"), "file_path", "change_type", "is_python", "function_name", "class_name", "old_start", "old_lines", "new_start", "new_lines",
+        "review_id", "pos", "file_path", "change_type", "is_python", "function_name", "class_name", "old_start", "old_lines", "new_start", "new_lines",
         F.size("added_lines").alias("n_added"), F.size("removed_lines").alias("n_removed"), "diff_content",
     )
 

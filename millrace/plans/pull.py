@@ -12,6 +12,7 @@ from millrace.functions import text as T
 from millrace.operators import diff, graph, providers, syntax
 from millrace.plans import review
 from millrace.sources import code
+from millrace.sources.shared import cut
 
 
 def import_edges(sources: DataFrame) -> DataFrame:
@@ -37,10 +38,18 @@ def build_graph(sources: DataFrame) -> dict[str, DataFrame]:
 
 
 def remote_sources(spark: SparkSession, hosted: code.Hosted, owner: str, repo: str, ref: str, most_bytes: int = 524_288) -> DataFrame:
-    """(path, source) of a hosted repository at a ref: the tree is listed once, each file is fetched by the task that holds its path."""
+    """(path, source, error) of a hosted repository at a ref: the tree is listed once, each file is fetched once, by the task that holds its path.
+
+    Files that could not be fetched have a null source; ``unfetched`` names them.
+    """
     listed = code.tree_files(spark.createDataFrame([(hosted.tree(owner, repo, ref),)], "body string"))
     wanted = listed.where((F.col("size") <= most_bytes) & ~code.skipped(F.col("path")) & (T.language(F.col("path"))["name"] != "Code"))
-    return code.fetched(wanted.select("path"), hosted, owner, repo, ref)
+    return cut(code.fetched(wanted.select("path"), hosted, owner, repo, ref))
+
+
+def unfetched(sources: DataFrame) -> DataFrame:
+    """path and error of the files of ``remote_sources`` that are missing from it."""
+    return sources.where("error is not null").select("path", "error")
 
 
 def extract_review_changes(spark: SparkSession, repo: str, base: str = "main", head: str = "HEAD", triple_dot: bool = True, context: int = 3, review_id: int = 1) -> DataFrame:
@@ -53,7 +62,8 @@ def extract_review_changes(spark: SparkSession, repo: str, base: str = "main", h
     diffs = spark.read.format("git_diff").options(repo=repo, base=base, head=head, triple_dot=str(triple_dot).lower(), context=str(context)).load()
     diffs = diffs.select(F.lit(review_id).alias("review_id"), "diff")
     files = diff.files(diffs).where("is_python").select("review_id", "path", "change_type")
-    at = lambda ref: spark.read.format("git_files").options(repo=repo, ref=ref, suffixes=".py").load().select("path", "source")
+    at = lambda ref: spark.read.format("git_files").options(repo=repo, ref=ref, suffixes=".py").load().where("source is not null").select("path", "source")
+    # A file that git can't give has no scopes; its changes take their names from the text.
     there = files.where("change_type <> 'deleted'").join(at(head), "path").unionByName(files.where("change_type = 'deleted'").join(at(base), "path"))
     scopes = syntax.scopes(there).join(there.select("path", "review_id"), "path")
     return diff.changes(diffs, scopes)

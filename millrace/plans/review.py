@@ -124,7 +124,7 @@ def review_changes(changes: DataFrame, make: Callable[[], providers.Provider] =
     """changes: rows of ``diff.changes``. A review whose changes are all of one Python file goes by its name, so the scanner's results count."""
     payload = chunks.payload(chunks.chunk_changes(changes, max_chars=max_chars), max_tokens=max_tokens)
     names = changes.groupBy("review_id").agg(F.min("file_path").alias("_a"), F.max("file_path").alias("_b"), F.bool_and("is_python").alias("_p"))
-    path: Column = F.when((F.col("_a") == F.col("_b")) | F.col("_p"), F.col("_a")).otherwise(F.lit("changes.diff"))
+    path: Column = F.when((F.col("_a") == F.col("_b")) & F.col("_p"), F.col("_a")).otherwise(F.lit("changes.diff"))
     return run_review(payload.join(names, "review_id").select("review_id", path.alias("path"), F.col("payload").alias("source")), make, **options)
 
 

@@ -80,7 +80,7 @@ def upsert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT review_id, pos, upper(change_type[1]) || change_type[2:] || ' ' || {_SCOPE} || ' in ' || file_path || ': +' || n_added || ' / -' || n_removed || ' lines at ' || new_start AS text FROM ({_CHANGES})"
 )
 def change_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pull.changes_text(_changes(spark, sf_dir).withColumn("pos", c("pos").cast("int")))
+    return pull.changes_text(_changes(spark, sf_dir))
 
 
 @query(f"SELECT DISTINCT file_path, {_SCOPE} AS scope FROM ({_CHANGES})")

@@ -100,14 +100,14 @@ class _GitDiffReader(DataSourceReader):
 
 
 class GitFiles(DataSource):
-    """``spark.read.format("git_files")``: (path, source) of a repository at a revision. Options: repo, ref, suffixes (comma-separated), parts."""
+    """``spark.read.format("git_files")``: (path, source, error) of a repository at a revision. Options: repo, ref, suffixes (comma-separated), parts."""
 
     @classmethod
     def name(cls) -> str:
         return "git_files"
 
     def schema(self) -> str:
-        return "path string, source string"
+        return "path string, source string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _GitFilesReader(dict(self.options))
@@ -136,24 +136,56 @@ class _GitFilesReader(DataSourceReader):
         return [_Paths(names[at : at + step]) for at in range(0, len(names), step)] or [_Paths([])]
 
     def read(self, partition: _Paths) -> Iterator[tuple]:
-        for path in partition.paths:
-            yield path, self._git("show", f"{self.o.get('ref', 'HEAD')}:{path}").decode(errors="replace")
+        """One git process for all paths of the partition. A path that is no file at the revision is a row with its error."""
+        if not partition.paths:
+            return
+        ref = self.o.get("ref", "HEAD")
+        with subprocess.Popen(["git", "-C", self.o["repo"], "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as git:
+            for path in partition.paths:
+                if "\n" in path:
+                    yield path, None, "a line end in the name"
+                    continue
+                git.stdin.write(f"{ref}:{path}\n".encode())
+                git.stdin.flush()
+                head = git.stdout.readline().split()
+                if len(head) != 3 or head[1:2] not in ([b"blob"], [b"tree"], [b"commit"]):
+                    yield path, None, b" ".join(head).decode(errors="replace") or "git ended"
+                    continue
+                size = int(head[2])
+                content = git.stdout.read(size + 1)[:size]
+                yield (path, content.decode(errors="replace"), None) if head[1] == b"blob" else (path, None, f"a {head[1].decode()}")
+            git.stdin.close()
+
+
+class RateLimit(RuntimeError):
+    """A hosting service's quota is used up."""
 
 
 def fetched(paths: DataFrame, hosted: Hosted, owner: str, repo: str, ref: str) -> DataFrame:
-    """(path, source) of paths of a hosted repository, fetched in Arrow batches; the raw address first, then the API. Failures are null."""
+    """(path, source, error) of paths of a hosted repository, fetched in Arrow batches; the raw address first, then the API.
 
-    @F.pandas_udf("string")
-    def content(names: pd.Series) -> pd.Series:
-        out = []
-        for path in names:
-            try:
-                out.append(hosted.raw(owner, repo, path, ref))
-            except Exception:  # noqa: BLE001
-                out.append(None)
-        return pd.Series(out)
+    A file that fails has a null source and its error. Once a task is refused for the rate limit, it asks for no more of its files: they have that error too.
+    """
 
-    return paths.select("path", content("path").alias("source"))
+    @F.pandas_udf("source string, error string")
+    def content(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        refused = None
+        for names in batches:
+            out = []
+            for path in names:
+                if refused:
+                    out.append((None, refused))
+                    continue
+                try:
+                    out.append((hosted.raw(owner, repo, path, ref), None))
+                except RateLimit as e:
+                    refused = str(e)
+                    out.append((None, refused))
+                except (OSError, ValueError, KeyError) as e:
+                    out.append((None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["source", "error"])
+
+    return paths.select("path", content("path").alias("_r")).select("path", "_r.source", "_r.error")
 
 
 class Hosted:
@@ -171,7 +203,7 @@ class Hosted:
         except urllib.error.HTTPError as e:
             # Refused answers come as exceptions, with their headers.
             if e.code in (403, 429) and e.headers.get("X-RateLimit-Remaining") == "0":
-                raise RuntimeError(f"rate limit reached, reset at {e.headers.get('X-RateLimit-Reset', 'unknown')}") from e
+                raise RateLimit(f"rate limit reached, reset at {e.headers.get('X-RateLimit-Reset', 'unknown')}") from e
             raise
 
     def repo(self, owner: str, repo: str) -> dict:
@@ -205,4 +237,4 @@ class Hosted:
         return self._call(f"/repos/{owner}/{repo}/issues/{number}/comments", data={"body": body})
 
 
-__all__ = ["GitDiff", "GitFiles", "Hosted", "at_ref", "decoded", "fetched", "from_map", "pasted", "read_event", "scan_sources", "skipped", "tree_files"]
+__all__ = ["GitDiff", "GitFiles", "Hosted", "RateLimit", "at_ref", "decoded", "fetched", "from_map", "pasted", "read_event", "scan_sources", "skipped", "tree_files"]

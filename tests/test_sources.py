@@ -67,3 +67,39 @@ def test_unit_documents_and_index_summary(spark):
     doc = store.unit_documents(units).where("title = 'f'").first()
     assert doc.category == "codebase" and doc.metadata["unit_type"] == "method" and doc.content.startswith("Method `A.f`.")
     assert units.select(F.max("end_line")).first()[0] == 70
+
+
+def test_fetch_errors_are_rows_and_the_limit_stops(spark):
+    class Refusing(code.Hosted):
+        """Answers by name: text, a missing file, and, from the third file on, the rate limit."""
+
+        def raw(self, owner, repo, path, ref):
+            if path == "gone.py":
+                raise FileNotFoundError("404")
+            if path > "m":
+                raise code.RateLimit("rate limit reached, reset at 7")
+            return f"# {path}"
+
+    paths = spark.createDataFrame([(p,) for p in ("a.py", "gone.py", "n.py", "b.py", "z.py")], "path string").coalesce(1)
+    got = {r.path: (r.source, r.error) for r in code.fetched(paths, Refusing(), "o", "r", "main").collect()}
+    assert got["a.py"] == ("# a.py", None) and got["gone.py"] == (None, "FileNotFoundError: 404")
+    # Once refused, the task asks for nothing more.
+    assert {got[p] for p in ("n.py", "b.py", "z.py")} == {(None, "rate limit reached, reset at 7")}
+
+
+def test_git_files_by_one_process_with_error_rows(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    git("init", "-q")
+    texts = {f"d/f{i}.py": f"x = {i}\n" * i for i in range(12)} | {"é b.py": "ü", "empty.py": ""}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    git("add", "-A")
+    git("-c", "user.name=a", "-c", "user.email=a@b", "commit", "-qm", "x")
+    spark.dataSource.register(code.GitFiles)
+    rows = spark.read.format("git_files").options(repo=str(tmp_path), ref="HEAD", suffixes=".py", parts="3").load().collect()
+    assert {r.path: r.source for r in rows} == texts and {r.error for r in rows} == {None}
+    reader = code._GitFilesReader({"repo": str(tmp_path), "ref": "HEAD"})
+    assert list(reader.read(code._Paths(["d", "none.py", "d/f2.py"]))) == [("d", None, "a tree"), ("none.py", None, "HEAD:none.py missing"), ("d/f2.py", "x = 2\n" * 2, None)]
