@@ -6,8 +6,8 @@ the products of a word's vector with all filters are computed once per distinct
 a look-up and additions a word.
 
 The sample that the model is fitted on is bounded: at most ``SAMPLE`` labelled rows of each class, of any length, the first by a
-hash of the id, and never a held-out row. Of a text of more than ``SAMPLE_CHARS`` characters the fit reads that many, from a place
-given by the hash: any part of a text that isn't toxic is not toxic either; of a toxic one up to ``WHOLE`` times as many. A quarter of the sample is kept from training. All
+hash of the id, and never a held-out row. Texts are read whole, one after the other, and kept as numbers of their words, four bytes a word; a step of the
+fit takes a text in slices. A quarter of the sample is kept from training. All
 labelled rows that are neither held out nor trained on are then scored whole by the executors, and histograms of their
 logits set the level that maps to a score of 0.5, and a threshold for each language. A language without rows of both classes takes
 0.5; if those rows together lack a class, the trained rows count as well. Language moves the threshold only, never the score.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import in_bitmap
 
-SAMPLE, SAMPLE_CHARS, WHOLE = 2500, 20_000, 10
+SAMPLE = 2500
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
 EPOCHS, RATE, SEED = 12, 0.15, 7
 TABLE_ROWS = 200_000
@@ -73,8 +73,20 @@ class Model:
         return float((np.maximum(best + self.bias, 0) * self.out).sum()) + self.shift
 
 
-def _padded(ids: np.ndarray) -> np.ndarray:
-    return np.concatenate([ids, np.full((WIDTHS[-1] - 1 + (len(ids) == 0), 4), -1, ids.dtype)])
+class Vocabulary:
+    """Numbers of words, and the buckets of each."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.rows: list[tuple[int, int, int, int]] = []
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = (text or "").split()
+        for w in words:
+            if w not in self.numbers:
+                self.numbers[w] = len(self.rows)
+                self.rows.append(features(w))
+        return np.fromiter(map(self.numbers.__getitem__, words), "i4", len(words))
 
 
 def _vectors(model: Model, ids: np.ndarray) -> np.ndarray:
@@ -83,18 +95,34 @@ def _vectors(model: Model, ids: np.ndarray) -> np.ndarray:
     return e
 
 
+def _maxima(model: Model, table: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maxima and their places of a whole text, by slices that share the words which a filter spans. Zero words follow the text."""
+    best, place, edge = None, None, WIDTHS[-1] - 1
+    for at in range(0, max(1, len(doc)), SLICE):
+        part = doc[at : at + SLICE + edge]
+        wanted = min(SLICE, max(1, len(doc) - at)) + edge
+        ids = np.concatenate([table[part], np.full((wanted - len(part), 4), -1)]) if len(part) < wanted else table[part]
+        here, where = model.pooled(np.einsum("ld,pdf->lpf", _vectors(model, ids), model.filters, optimize=True))
+        if best is None:
+            best, place = here, where
+        else:
+            more = here > best
+            best, place = np.where(more, here, best), np.where(more, where + at, place)
+    return best, place
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
-    """Per-text Adagrad steps through the places of the maxima."""
+    known = Vocabulary()
+    return fit_numbers([known(t) for t in texts], np.array(known.rows, "i8").reshape(-1, 4), labels, epochs)
+
+
+def fit_numbers(docs: list[np.ndarray], table: np.ndarray, labels: list[int], epochs: int = EPOCHS) -> Model:
+    """Per-text Adagrad steps through the places of the maxima. ``docs``: rows of ``table``, the buckets of each word."""
     rng = np.random.default_rng(SEED)
     model = Model(
         rng.normal(0, 0.1, (BUCKETS, DIM)).astype("f4"), rng.normal(0, 0.3, (OFFSETS[-1], DIM, FILTERS)).astype("f4"),
         np.zeros((len(WIDTHS), FILTERS), "f4"), rng.normal(0, 0.3, (len(WIDTHS), FILTERS)).astype("f4"),
     )
-    known: dict[str, tuple[int, ...]] = {}
-    docs = []
-    for t in texts:
-        words = (t or "").split()
-        docs.append(_padded(np.array([known.get(w) or known.setdefault(w, features(w)) for w in words], "i8").reshape(-1, 4)))
     y = np.asarray(labels, "f4")
     weight = np.where(y == 1, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (1 - y).sum()))
     seen = {k: np.full_like(getattr(model, k), 0.1) for k in ("embed", "filters", "bias", "out")}
@@ -107,26 +135,27 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
 
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
-            ids = docs[i]
-            e = _vectors(model, ids)
-            best, place = model.pooled(np.einsum("ld,pdf->lpf", e, model.filters, optimize=True))
+            doc = docs[i]
+            best, place = _maxima(model, table, doc)
             a = np.maximum(best + model.bias, 0)
             d = float(weight[i]) * (1 / (1 + np.exp(-np.clip((a * model.out).sum() + model.shift, -30, 30))) - y[i])
             if abs(d) < 1e-3:
                 continue
             da = d * model.out * (a > 0)
             places = place[part_of] + step_of[:, None]  # (parts, FILTERS): the word under each part of each filter
-            touched, flat = e[places], da[part_of]
+            rows, inverse = np.unique(places.ravel(), return_inverse=True)
+            inside = rows < len(doc)
+            ids = np.full((len(rows), 4), -1, "i8")
+            ids[inside] = table[doc[rows[inside]]]
+            touched, flat = _vectors(model, ids)[inverse].reshape(*places.shape, DIM), da[part_of]
             gf = np.einsum("pfd,pf->pdf", touched, flat)
             ge = (model.filters.transpose(0, 2, 1) * flat[:, :, None]).reshape(-1, DIM)
-            rows, inverse = np.unique(places.ravel(), return_inverse=True)
             gw = np.zeros((len(rows), DIM), "f4")
             np.add.at(gw, inverse, ge)
-            real = ids[rows, 0] >= 0
             for f in range(4):
-                at, back = np.unique(ids[rows[real], f], return_inverse=True)
+                at, back = np.unique(ids[inside, f], return_inverse=True)
                 g = np.zeros((len(at), DIM), "f4")
-                np.add.at(g, back, gw[real])
+                np.add.at(g, back, gw[inside])
                 move("embed", g, at)
             move("out", d * a)
             move("bias", da)
@@ -197,10 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.coalesce(text_col, F.lit("")).alias("_text"))
     # Of fixed size: 2 x sample rows of an id and a label.
     found = texts.join(F.broadcast(picked), F.col("_id") == F.col(id_col))
-    most = F.when(F.col("_y") > 0, SAMPLE_CHARS * WHOLE).otherwise(SAMPLE_CHARS)
-    start = F.pmod("_h", F.greatest(F.lit(1), F.length("_text") - most + 1)) + 1
-    found = found.select("_id", "_y", "_h", F.substring("_text", start, most).alias("_text"))
-    rows = found.groupBy("_id", "_y").agg(F.min(F.struct("_h", "_text")).alias("_t")).select("_id", "_t._text", "_y").collect()
+    rows = found.groupBy("_id", "_y").agg(F.min(F.struct("_h", "_text")).alias("_t")).select("_id", "_t._text", "_y")
+    # Texts come one partition at a time and stay as numbers of words.
+    words = Vocabulary()
+    rows = [(r[0], words(r[1]), r[2]) for r in rows.toLocalIterator()]
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
     y = np.array([int(r[2] > 0) for r in rows])
     if len(set(y)) < 2:
@@ -208,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     check = np.arange(len(rows)) % 4 == 3
     if len(set(y[~check])) < 2:
         check = np.zeros(len(rows), bool)
-    model = fit([r[1] for r, c in zip(rows, check, strict=True) if not c], list(y[~check]))
+    model = fit_numbers([r[1] for r, c in zip(rows, check, strict=True) if not c], np.array(words.rows, "i8").reshape(-1, 4), list(y[~check]))
     trained = docs.sparkSession.createDataFrame([(rows[i][0],) for i in np.flatnonzero(~check)], docs.select(F.col(id_col).alias("_id")).schema)
     every = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     for used in (every.join(F.broadcast(trained), "_id", "left_anti"), every):
