@@ -66,13 +66,13 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.leaders(rows, ["user_id"], ["event_id"], rules).select("user_id", F.col("position").cast("int").alias("position"), F.col("leader").cast("int").alias("leader"))
 
 
-_U = f"SELECT user_id, {LEVEL} AS severity, {CONFIDENCE} AS confidence, event_id, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS source_no FROM events WHERE event_type IN ('error', 'click', 'view')"
+_U = f"SELECT user_id, {LEVEL} AS severity, {CONFIDENCE} AS confidence, event_id, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS source_no FROM events"
 
 
 @query(f"SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY {RANK} DESC, {CONF_RANK} DESC, source_no, event_id) AS INT) AS rank FROM ({_U})")
 def finding_union_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
-    rows = findings.union_in_order(*(e.where(F.col("event_type") == t) for t in ("error", "click", "view")))
+    rows = findings.union_in_order(*(e.where(F.col("event_type") == t) for t in ("error", "click", "view", "purchase", "signup")))
     rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("user_id").orderBy("source_no", "event_id")))
     return findings.in_order(rows, "user_id").select("user_id", "event_id", "rank")
 

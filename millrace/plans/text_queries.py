@@ -114,7 +114,7 @@ def normalise_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"WITH b AS (SELECT item_id, list_distinct(list_filter(string_split({NORMAL}, ' '), lambda x: x <> '')) AS t FROM benchmark), w AS (SELECT item_id, unnest(t) AS w FROM b), n AS (SELECT item_id, len(t) AS n FROM b), "
     "p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS k FROM w x JOIN w y ON x.w = y.w AND x.item_id < y.item_id GROUP BY ALL) "
-    "SELECT p.a, p.b, round(k / CAST(na.n + nb.n - k AS DOUBLE), 6) AS jaccard FROM p JOIN n na ON na.item_id = p.a JOIN n nb ON nb.item_id = p.b WHERE k / CAST(na.n + nb.n - k AS DOUBLE) >= 0.2"
+    "SELECT p.a, p.b, round(k / CAST(na.n + nb.n - k AS DOUBLE), 6) AS jaccard FROM p JOIN n na ON na.item_id = p.a JOIN n nb ON nb.item_id = p.b WHERE k / CAST(na.n + nb.n - k AS DOUBLE) >= 0.08"
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items meet on shared tokens; the benchmark is a small reference table."""
@@ -123,7 +123,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = (words.select(F.col("item_id").alias(s), "w", F.col("n").alias(f"n{s}")) for s in "ab")
     both = x.join(y, "w").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     j = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    return both.where(j >= 0.2).select("a", "b", F.round(j, 6).alias("jaccard"))
+    return both.where(j >= 0.08).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
 @query("SELECT sha256(text) AS digest, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")

@@ -9,11 +9,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import chunks, diff, findings, graph, loop, ordered, providers, redact, report, retrieval, rubric, state, syntax
-from millrace.plans.fixture_queries import DIFF, SOURCES, import_edges
+from millrace.plans import fixture_queries
+from millrace.plans.fixture_queries import import_edges, filled
 from millrace.sources import code, store
 
 PEM = "-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----"
 
+DIFF = filled(fixture_queries.DIFF)
+SOURCES = {filled(k): filled(v) for k, v in fixture_queries.SOURCES.items()}
+
 
 def docs(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

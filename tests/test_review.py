@@ -41,9 +41,9 @@ def test_failed_calls_are_error_rows(spark):
 
 
 def test_diff_review_and_agents(spark):
-    from millrace.plans.fixture_queries import DIFF
+    from millrace.plans.fixture_queries import DIFF, filled
 
-    r = review.review_diffs(spark.createDataFrame([(1, DIFF.replace("b = 2", "eval(b)"))], "review_id int, diff string"), with_fixes=False)
+    r = review.review_diffs(spark.createDataFrame([(1, filled(DIFF).replace("b = 2", "eval(b)"))], "review_id int, diff string"), with_fixes=False)
     assert r.reports.first().total_findings >= 1
     counts = spark.createDataFrame([(1, "static", "completed", 2)], "review_id int, agent string, status string, n long")
     assert {x.agent: (x.status, x.n) for x in review.agent_rows(counts).collect()} == {"static": ("completed", 2), "security": ("not run", 0), "logic": ("not run", 0)}
