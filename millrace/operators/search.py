@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import chunks, nearest, retrieval, syntax
+from millrace.sources.shared import removed, stored
 from millrace.sources.store import Table, index_summary, unit_documents
 
 #: Hits fetched beyond those asked for, and in all, so that the query's own unit and weak ones can be left out.
 MORE, MOST = 4, 15
-INDEX_DDL = "id string, title string, content string, cwe string, severity string, category string, metadata map<string,string>, embedding array<float>, version long"
+INDEX_DDL = "id string, title string, content string, cwe string, severity string, category string, metadata map<string,string>, embedding array<float>, version long, content_hash string"
+#: Units that are embedded together; one that fails fails these.
+BATCH = 50
 
 
 class Embedder(ABC):
@@ -65,9 +68,12 @@ def embed_texts(text: Column, make: Callable[[], Embedder] = HashEmbedder) -> Co
 
 @dataclass(frozen=True)
 class Indexed:
-    """What an indexing run did: rows written, counts by type, and sources that could not be parsed."""
+    """What an indexing run did: rows written, unchanged and removed, counts by type, and errors: sources that could not be read or parsed, batches
+    that could not be embedded."""
 
     written: int
+    unchanged: int
+    removed: int
     summary: DataFrame
     errors: DataFrame
 
@@ -76,25 +82,81 @@ def index_table(spark: SparkSession, path: str) -> Table:
     return Table(spark, path, ["id"], ["version"], INDEX_DDL)
 
 
+def documents_of(units: DataFrame) -> DataFrame:
+    """Store documents of parsed units with ``content_hash``, which tells whether a unit has changed."""
+    docs = unit_documents(units)
+    return docs.withColumn("content_hash", F.sha2(F.to_json(F.struct("title", "content", "cwe", "severity", "category", F.array_sort(F.map_entries("metadata")).alias("m"))), 256))
+
+
+def embedded_documents(docs: DataFrame, make: Callable[[], Embedder] = HashEmbedder, batch: int = BATCH) -> DataFrame:
+    """``docs`` with ``embedding`` and ``error``: units are embedded in batches, and a batch that fails is rows with its error and no vector."""
+    text = F.concat_ws("\n", "title", "content")
+
+    @F.pandas_udf("embedding array<float>, error string")
+    def embedded(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for texts in columns:
+            vectors, errors = [], []
+            for at in range(0, len(texts), batch):
+                part = [t or "" for t in texts[at : at + batch]]
+                try:
+                    v = np.asarray(model.embed(part), "f8").reshape(len(part), -1)
+                    size = np.linalg.norm(v, axis=1, keepdims=True)
+                    unit = (v / np.where(size > 0, size, 1)).astype("f4")
+                    vectors += [row if s > 0 else None for row, s in zip(unit, size[:, 0], strict=True)]
+                    errors += [None] * len(part)
+                except Exception as e:  # noqa: BLE001 - whatever a model raises is the batch's error
+                    vectors += [None] * len(part)
+                    errors += [f"{type(e).__name__}: {e}"] * len(part)
+            yield pd.DataFrame({"embedding": vectors, "error": errors})
+
+    return docs.withColumn("_e", embedded(text)).withColumns({"embedding": F.col("_e.embedding"), "error": F.col("_e.error")}).drop("_e")
+
+
 def index_rows(units: DataFrame, make: Callable[[], Embedder] = HashEmbedder, version: int = 1) -> DataFrame:
     """Rows of an index from parsed units."""
-    docs = unit_documents(units)
+    docs = documents_of(units)
     return docs.withColumn("embedding", embed_texts(F.concat_ws("\n", "title", "content"), make)).withColumn("version", F.lit(version).cast("long"))
 
 
-def index_codebase(sources: DataFrame, target: Table, make: Callable[[], Embedder] = HashEmbedder, version: int = 1, block: int = 60, summarise: Callable[[DataFrame], DataFrame] | None = None) -> Indexed:
-    """Units of all sources (path, source) with their vectors into the index; a unit indexed again replaces itself.
+def index_codebase(
+    sources: DataFrame, target: Table, make: Callable[[], Embedder] = HashEmbedder, version: int = 1, block: int = 60, summarise: Callable[[DataFrame], DataFrame] | None = None, batch: int = BATCH, whole: bool = False,
+) -> Indexed:
+    """Units of all sources (path, source and, where known, error) with their vectors into the index.
 
-    ``summarise`` may put a model's summaries in place of those made from parts. A source with an error of syntax is an error row and
-    has no units; the others are written.
+    Only units whose content differs from what the index holds are embedded and written. Units that are gone from a source that was read are
+    deleted; with ``whole`` the sources are the whole codebase, and units of paths that aren't among them are deleted too. ``summarise`` may put a
+    model's summaries in place of those made from parts. A source with an error of syntax is an error row and keeps the units it had; so is one
+    that could not be fetched. A batch that can't be embedded is error rows, and the other batches are written.
     """
-    units = syntax.units(sources, block=block)
-    if summarise:
-        units = summarise(units)
-    rows = index_rows(units, make, version)
-    checked = sources.where(T.is_python(F.col("path"))).select("path", syntax.check_syntax(F.col("source"), F.col("path")).alias("r"))
-    errors = checked.where("not r.valid and r.error <> 'empty'").select("path", F.col("r.error").alias("error"), F.col("r.line").alias("line"))
-    return Indexed(target.upsert(rows), index_summary(units), errors)
+    spark = target.spark
+    given = sources if "error" in sources.columns else sources.withColumn("error", F.lit(None).cast("string"))
+    good = given.where("source is not null")
+    checked = good.where(T.is_python(F.col("path"))).select("path", syntax.check_syntax(F.col("source"), F.col("path")).alias("r"))
+    wrong = checked.where("not r.valid and r.error <> 'empty'").select("path", F.col("r.error").alias("error"), F.col("r.line").alias("line"))
+    units, path = stored(syntax.units(good, block=block), "units")
+    tables = [path]
+    wrong, path = stored(wrong.unionByName(given.where("source is null").select("path", F.coalesce("error", F.lit("no content")).alias("error"), F.lit(None).cast("int").alias("line"))), "unread")
+    tables.append(path)
+    docs = documents_of(summarise(units) if summarise else units)
+    held = target.read().where("category = 'codebase'").select("id", F.col("content_hash").alias("_held"), F.element_at("metadata", F.lit("file_path")).alias("_file"))
+    held, path = stored(held, "held")
+    tables.append(path)
+    both = docs.join(held.select("id", "_held"), "id", "left")
+    fresh = both.where(~F.col("content_hash").eqNullSafe(F.col("_held"))).drop("_held")
+    rows, path = stored(embedded_documents(fresh, make, batch).withColumn("version", F.lit(version).cast("long")), "embedded")
+    tables.append(path)
+    failed = rows.where("error is not null").select(F.element_at("metadata", F.lit("file_path")).alias("path"), "error", F.lit(None).cast("int").alias("line"))
+    # Of a source with an error nothing is known, so what the index holds of it stays.
+    read = good.select(F.col("path").alias("_file")).join(wrong.select(F.col("path").alias("_file")), "_file", "left_anti")
+    paths = held.select("_file").distinct().join(wrong.select(F.col("path").alias("_file")), "_file", "left_anti") if whole else read.distinct()
+    vanished = held.join(paths, "_file", "left_semi").join(docs.select("id"), "id", "left_anti")
+    n_gone, n_docs = vanished.count(), docs.select("id").distinct().count()
+    n_fresh = rows.select("id").distinct().count()
+    written = target.upsert(rows.where("error is null").drop("error"), vanished.select("id"))
+    (errors, _), (summary, _) = stored(wrong.unionByName(failed), "index-errors"), stored(index_summary(units), "index-summary")
+    removed(spark, *tables)
+    return Indexed(written - n_gone, n_docs - n_fresh, n_gone, summary, errors)
 
 
 def indexed_count(target: Table) -> int:
