@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -35,13 +35,8 @@ def _first(lines: Column, name) -> Column:
     return F.get(F.filter(F.transform(lines, name), lambda x: x.isNotNull()), F.lit(0))
 
 
-def files(diffs: DataFrame, key: str = "review_id", text_col: str = "diff") -> DataFrame:
-    """A row a file: key, file_no, path, old_path, change_type, is_python, and ``_hunks``, the texts of its hunks."""
-    blocks = F.filter(F.split(F.col(text_col), r"(?m)^(?=diff --git )"), lambda x: x.startswith("diff --git "))
-    rows = diffs.select(key, F.posexplode(blocks).alias("file_no", "_block"))
-    rows = rows.withColumn("_parts", F.split("_block", r"(?m)^(?=@@)"))
-    head = F.get("_parts", F.lit(0))
-    rows = rows.withColumn("_head", head)
+def _of_head(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, path, old_path, change_type and is_python of files, from ``_head``: the text before a file's first hunk."""
     first = F.substring_index("_head", "\n", 1)
     a, b = (F.trim(F.regexp_extract(first, r"^diff --git a/(.*?) b/(.*?)\s*$", n)) for n in (1, 2))
     meta = lambda p, n=1: F.trim(F.regexp_extract(F.col("_head"), rf"(?m)^{p}", n))
@@ -49,16 +44,58 @@ def files(diffs: DataFrame, key: str = "review_id", text_col: str = "diff") -> D
     renamed = F.col("_head").rlike(r"(?m)^rename (?:from|to) ")
     to = F.nullif(meta(r"rename to (.*)$"), F.lit(""))
     rows = rows.where(first.rlike(r"^diff --git a/.*? b/.*?$")).select(
-        key, "file_no", F.when(deleted, a).when(renamed, F.coalesce(to, b)).otherwise(b).alias("path"), F.nullif(meta(r"rename from (.*)$"), F.lit("")).alias("old_path"),
+        *keep, F.when(deleted, a).when(renamed, F.coalesce(to, b)).otherwise(b).alias("path"), F.nullif(meta(r"rename from (.*)$"), F.lit("")).alias("old_path"),
         F.when(renamed, "renamed").when(deleted, "deleted").when(added, "added").otherwise("modified").alias("change_type"),
-        F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))).alias("_hunks"),
     )
     return rows.withColumn("is_python", F.col("path").endswith(".py"))
 
 
+def files(diffs: DataFrame, key: str = "review_id", text_col: str = "diff") -> DataFrame:
+    """A row a file: key, file_no, path, old_path, change_type, is_python, and ``_hunks``, the texts of its hunks."""
+    blocks = F.filter(F.split(F.col(text_col), r"(?m)^(?=diff --git )"), lambda x: x.startswith("diff --git "))
+    rows = diffs.select(key, F.posexplode(blocks).alias("file_no", "_block"))
+    rows = rows.withColumn("_parts", F.split("_block", r"(?m)^(?=@@)")).withColumn("_head", F.get("_parts", F.lit(0)))
+    rows = rows.withColumn("_hunks", F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))))
+    return _of_head(rows, [key, "file_no", "_hunks"])
+
+
 def hunks(diffs: DataFrame, key: str = "review_id", text_col: str = "diff") -> DataFrame:
     """A row a hunk, with line arrays and the numbers of added (new side) and removed (old side) lines."""
-    rows = files(diffs, key, text_col).select("*", F.posexplode("_hunks").alias("hunk_no", "_text")).drop("_hunks")
+    return _of_hunks(files(diffs, key, text_col).select("*", F.posexplode("_hunks").alias("hunk_no", "_text")).drop("_hunks"))
+
+
+def read_patch(spark: SparkSession, path: str, key: str = "review_id") -> DataFrame:
+    """``hunks`` of patch files of any size, a review each: many tasks read one file, and no row holds more than a hunk.
+
+    Spark deals out byte ranges of the files, cut at line ends. A range knows how many lines, files and hunks it holds; sums over the ranges
+    before it give each line its number, file and hunk, so headers need not stand in the range of their lines. Lines then meet by hunk. ``key`` is the
+    file's path. Rows of hunks are stored in the shared folder.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias(key), F.col("_metadata.file_block_start").alias("_at"), "value", F.monotonically_increasing_id().alias("_id"))
+    opens = F.col("value").startswith("diff --git ")
+    lines = lines.withColumns({"_file": opens.cast("int"), "_hunk": F.col("value").startswith("@@").cast("int")})
+    # One row a range: what stands before it in its file.
+    ranges = lines.groupBy(key, "_at").agg(F.count(F.lit(1)).alias("n"), F.sum("_file").alias("f"), F.sum("_hunk").alias("h"))
+    before = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(key, "_at", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in "nfh"))
+    inside = Window.partitionBy(key, "_at").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumns({"_line": F.row_number().over(Window.partitionBy(key, "_at").orderBy("_id")), "_files": F.sum("_file").over(inside), "_hunks": F.sum("_hunk").over(inside)}).join(ranges, [key, "_at"])
+    placed = placed.select(key, (F.col("_n") + F.col("_line")).alias("line"), (F.col("_f") + F.col("_files")).alias("file"), (F.col("_h") + F.col("_hunks")).alias("hunk"), "value").where("file > 0")
+    spark_parts, parts_path = stored(placed, "patch")
+    # Hunks are counted through the patch; a file's first one tells where its own begin.
+    first = spark_parts.groupBy(key, "file").agg(F.min("hunk").alias("_none"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n")
+    parts = spark_parts.groupBy(key, "file", "hunk").agg(text.alias("_text")).join(first, [key, "file"])
+    parts = parts.select(key, (F.col("file") - 1).cast("int").alias("file_no"), (F.col("hunk") - F.col("_none") - 1).cast("int").alias("hunk_no"), "_text")
+    parts, texts_path = stored(parts, "patch-texts")
+    heads = _of_head(parts.where("hunk_no = -1").withColumnRenamed("_text", "_head"), [key, "file_no"])
+    out, _ = stored(_of_hunks(parts.where("hunk_no >= 0").join(heads, [key, "file_no"])), "patch-hunks")
+    removed(spark, parts_path, texts_path)
+    return out
+
+
+def _of_hunks(rows: DataFrame) -> DataFrame:
+    """Rows of hunks from ``_text``, a hunk with its header."""
     rows = rows.withColumn("_lines", T.lines(F.col("_text")))
     header = F.get("_lines", F.lit(0))
     number = lambda n: _group(F.col("header"), HUNK, n).cast("int")
