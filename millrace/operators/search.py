@@ -84,7 +84,10 @@ def index_table(spark: SparkSession, path: str) -> Table:
 
 def documents_of(units: DataFrame) -> DataFrame:
     """Store documents of parsed units with ``content_hash``, which tells whether a unit has changed."""
-    docs = unit_documents(units)
+    return hashed(unit_documents(units))
+
+
+def hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("content_hash", F.sha2(F.to_json(F.struct("title", "content", "cwe", "severity", "category", F.array_sort(F.map_entries("metadata")).alias("m"))), 256))
 
 

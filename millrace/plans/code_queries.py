@@ -5,12 +5,16 @@ A template holds ``¤`` where the key goes; both engines make the same text from
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import chunks, diff, findings, graph, search, syntax
 from millrace.plans.catalog import query, table
 from millrace.sources import store
+from millrace.sources.shared import removed, shared_path
 
 KEY = "p_partkey"
 
@@ -130,6 +134,66 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("qid", "rank", "relevance")
 
 
+SLOTS = 32
+
+
+class BySlot(search.Embedder):
+    """A model whose texts are equal or at right angles: by the first number in them."""
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        numbers = [int((re.findall(r"\d+", t) or ["0"])[0]) for t in texts]
+        return np.eye(SLOTS, dtype="f4")[[n % SLOTS for n in numbers]]
+
+
+def _slots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An index of all units, the functions that are asked for (ids divisible by 20), and imports: each module's of the one that many keys on."""
+    index = search.index_rows(syntax.units(_sources(spark, sf_dir)), BySlot)
+    valid = table(spark, sf_dir, "part").where(f"{KEY} % 9 < 8")
+    asked = valid.where(f"{KEY} % 20 = 0").select(F.col(KEY).cast("long").alias("qid"), F.expr(made("f¤")).alias("function_name"), F.expr(made("src/m¤.py")).alias("file_path"), F.array(F.lit("return x")).alias("added_lines"))
+    edges = valid.select(F.expr(made("src/m¤.py")).alias("src"), F.expr(f"concat('src/m', CAST({KEY} + {SLOTS} AS STRING), '.py')").alias("dst"))
+    return index, asked, edges
+
+
+#: Units in the function's slot by id; seven are fetched, its own is left out, three are kept.
+_NEAR = (
+    f"WITH u AS (SELECT {KEY} AS k, stable_id AS id, unit_name AS title, file_path, concat_ws(chr(10), substr(summary, 1, 400), nullif(substr(signature, 1, 400), ''), nullif(substr(docstring, 1, 400), '')) AS content FROM ({_UNITS})), "
+    f"h AS (SELECT q.{KEY} AS qid, u.*, row_number() OVER (PARTITION BY q.{KEY} ORDER BY u.id) AS fetched FROM {_ASKED} q JOIN u ON u.k % {SLOTS} = q.{KEY} % {SLOTS}), "
+    f"n AS (SELECT qid, k, id, title, file_path, content, row_number() OVER (PARTITION BY qid ORDER BY fetched) AS rank FROM h WHERE fetched <= 7 AND NOT (k = qid AND title = 'f' || qid) QUALIFY rank <= 3)"
+)
+
+
+@query(f"{_NEAR} SELECT CAST(qid AS BIGINT) AS qid, id, CAST(rank AS INT) AS rank, CAST(1.0 AS DOUBLE) AS relevance, k = qid + {SLOTS} AS is_direct_dependency, k + {SLOTS} = qid AS is_dependent FROM n")
+def function_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Related units of functions, with their relation by imports. The functions aren't members of the index; their queries are made from name, file and code."""
+    index, asked, edges = _slots(spark, sf_dir)
+    return search.retrieve_for_function(asked, index, edges, make=BySlot).select("qid", "id", "rank", "relevance", "is_direct_dependency", "is_dependent")
+
+
+@query(
+    f"{_NEAR}, r AS (SELECT qid, rank, '#### `' || title || '` in `' || file_path || '` - 100%' || CASE WHEN k = qid + {SLOTS} THEN ' (direct dependency)' WHEN k + {SLOTS} = qid THEN ' (caller)' ELSE '' END || chr(10) || content AS text FROM n), "
+    "c AS (SELECT *, greatest(1, length(text) // 4) AS tokens, sum(greatest(1, length(text) // 4)) OVER (PARTITION BY qid ORDER BY rank) AS used FROM r) "
+    "SELECT CAST(qid AS BIGINT) AS review_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS units, sum(tokens)::BIGINT AS tokens FROM c WHERE used <= 60 GROUP BY qid"
+)
+def change_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of reviews of one changed function: units claimed in order, as many as sixty tokens allow."""
+    index, asked, edges = _slots(spark, sf_dir)
+    changes = asked.withColumnRenamed("qid", "review_id").withColumn("pos", F.lit(0))
+    return search.retrieve_for_changes(changes, index, edges, max_tokens=60, make=BySlot).select("review_id", "context", "units", "tokens")
+
+
+@query(f"SELECT 3 * (SELECT count(*) FROM {VALID}) AS first_run, CAST(0 AS BIGINT) AS second_run, 3 * (SELECT count(*) FROM {VALID}) AS unchanged, (SELECT count(*) FROM {VALID} WHERE {KEY} % 5 = 0) AS changed, (SELECT count(*) FROM {VALID} WHERE {KEY} % 5 = 0) AS removed, 3 * (SELECT count(*) FROM {VALID}) - (SELECT count(*) FROM {VALID} WHERE {KEY} % 5 = 0) AS held, (SELECT count(*) FROM part WHERE {KEY} % 9 = 8) AS errors")
+def index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index over all sources, built, built again, and built after every fifth module lost a function and has its class described anew."""
+    target = search.index_table(spark, shared_path(spark, "index-runs"))
+    sources = _sources(spark, sf_dir).select(KEY, "path", "source")
+    one, two = (search.index_codebase(sources.drop(KEY), target) for _ in range(2))
+    edited = F.when((F.col(KEY) % 5 == 0) & (F.col(KEY) % 9 < 8), F.regexp_replace(F.regexp_replace("source", r"(?s)\n\n\n@cache.*", "\n"), "Doc", "Text")).otherwise(F.col("source"))
+    three = search.index_codebase(sources.select("path", edited.alias("source")), target)
+    counts = (one.written, two.written, two.unchanged, three.written, three.removed, target.count(), three.errors.count())
+    removed(spark, target.path)
+    return spark.createDataFrame([counts], "first_run long, second_run long, unchanged long, changed long, removed long, held long, errors long")
+
+
 HUNKS = (
     "@@ -8,2 +8,4 @@\n     def m(self):\n+        a = 1\n+        b = 2\n-        z = 0\n         return a",
     "@@ -9,0 +10,1 @@\n+            c = ¤",

@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import knowledge
 from millrace.functions import text as T
 from millrace.operators import chunks, diff, findings, loop, providers, redact, report, rubric, state
 from millrace.sources.store import Table
@@ -35,10 +36,11 @@ def flags(sources: DataFrame, with_scanner: bool = True, with_model: bool = True
 
 def run_review(
     sources: DataFrame, make: Callable[[], providers.Provider] = providers.Stub, scanner: DataFrame | None = None, decisions: DataFrame | None = None,
-    with_fixes: bool = True, with_human: bool = False, sanitize: bool = True, most_revisions: int = 2, entropy: bool = False, context: str | None = None,
+    with_fixes: bool = True, with_human: bool = False, sanitize: bool = True, most_revisions: int = 2, entropy: bool = False, context: str | None = None, index: DataFrame | None = None,
 ) -> Review:
     """sources: review_id, path, source; a review has one or more paths. scanner: review_id, report (JSON of a static scanner). decisions: review_id, decision.
 
+    ``index``: rows of a store whose texts on weaknesses (``knowledge.preload``) are given to the security scan, the nearest to each source.
     Every source is redacted and analysed by itself. The model's answers are written once; findings, errors, fixes and reports all
     come from them. Blank sources take part in no analysis; a review without findings says so in its report.
     """
@@ -48,7 +50,8 @@ def run_review(
     else:
         code = rows.withColumnRenamed("_raw", "source").withColumn("n_secrets", F.lit(0)).withColumn("highest", F.lit(None).cast("string"))
     wanted = code.where(F.length(F.trim("source")) > 0)
-    asked = {kind: providers.answers(wanted, make, kind, context) for kind in ("Scan", "Logic")}
+    scanned = knowledge.with_knowledge(wanted, index) if index is not None else wanted
+    asked = {"Scan": providers.answers(scanned, make, "Scan", context, "knowledge" if index is not None else None), "Logic": providers.answers(wanted, make, "Logic", context)}
     security = findings.normalise(providers.findings_of(asked["Scan"]), "security")
     logic = findings.normalise(providers.findings_of(asked["Logic"]).withColumn("category", F.lit("business_logic")), "logic")
     static = security.where("false")
@@ -101,6 +104,12 @@ def _table(spark: SparkSession, folder: str, name: str, keys: list[str], ddl: st
     return Table(spark, f"{folder.rstrip('/')}/{name}", keys, keys, ddl)
 
 
+def export_sources(r: Review, folder: str) -> None:
+    """The redacted texts as text files, a folder a review and path."""
+    rows = r.sanitized.select("review_id", "path", F.col("source").alias("value"))
+    rows.hint("rebalance", "review_id", "path").write.mode("overwrite").partitionBy("review_id", "path").text(folder)
+
+
 def saved(spark: SparkSession, folder: str) -> Review:
     read = lambda name, keys: _table(spark, folder, name, keys, spark.read.parquet(f"{folder.rstrip('/')}/{name}-ddl").first()[0]).read()
     code, graded, errors = read("sources", ["review_id", "path"]), read("findings", ["review_id", "rank"]), read("errors", ["review_id", "path", "producer"])

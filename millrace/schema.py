@@ -105,6 +105,11 @@ class Config:
         kinds = {k: type(v.default) for k, v in cls.__dataclass_fields__.items()}
         return cls(**{k: kind(env[f"REVIEW_{k.upper()}"]) for k, kind in kinds.items() if f"REVIEW_{k.upper()}" in env})
 
+    def shown(self) -> list[tuple[str, str]]:
+        """Settings by variable, as they may be shown: of a key only whether it is set."""
+        mask = lambda name, v: ("*" * 8 if v else "(not set)") if name.endswith("key") else str(v)
+        return [(f"REVIEW_{name.upper()}", mask(name, getattr(self, name))) for name in self.__dataclass_fields__]
+
     @property
     def ready(self) -> bool:
         return self.model == "stub" or bool(self.api_key)

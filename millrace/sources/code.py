@@ -47,7 +47,7 @@ def at_ref(wanted: DataFrame, committed: DataFrame, working: DataFrame) -> DataF
 
 def read_event(spark: SparkSession, path: str) -> DataFrame:
     """owner, repo, number, title of a pull request event file."""
-    e = spark.read.option("wholetext", True).text(path)
+    e = spark.read.text(path, wholetext=True)
     get = lambda p: F.get_json_object("value", p)
     name = get("$.repository.full_name")
     return e.select(F.split(name, "/")[0].alias("owner"), F.split(name, "/")[1].alias("repo"), get("$.pull_request.number").cast("int").alias("number"), get("$.pull_request.title").alias("title"))

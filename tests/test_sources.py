@@ -19,7 +19,7 @@ def test_answers_and_events(spark, tmp_path):
     body = base64.b64encode("é = 1\n".encode()).decode()
     content = spark.createDataFrame([(json.dumps({"path": "a.py", "content": body[:4] + "\n" + body[4:]}),)], "body string")
     assert code.decoded(content).first().source == "é = 1\n"
-    (tmp_path / "event.json").write_text(json.dumps({"repository": {"full_name": "o/r"}, "pull_request": {"number": 7, "title": "t"}}))
+    (tmp_path / "event.json").write_text(json.dumps({"repository": {"full_name": "o/r"}, "pull_request": {"number": 7, "title": "t"}}, indent=1))
     assert tuple(code.read_event(spark, str(tmp_path / "event.json")).first()) == ("o", "r", 7, "t")
 
 
