@@ -10,16 +10,11 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import providers
 from millrace.operators.syntax import check_syntax
+from millrace.sources.shared import cut
 
 MOST_REVISIONS = 2
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint where a folder is set; without one the lineage stays, which the bound of the loop keeps short."""
-    context = df.sparkSession.sparkContext
-    return df.checkpoint() if context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().isDefined() else df
-
-
 def run(findings: DataFrame, make: Callable[[], providers.Provider] = providers.Stub, most: int = MOST_REVISIONS) -> DataFrame:
     """findings: review_id, finding_id, title, path, code. One row a finding: the last fix, flags, attempts made and judged.
 
@@ -31,7 +26,7 @@ def run(findings: DataFrame, make: Callable[[], providers.Provider] = providers.
     done = None
     for revision in range(most + 1):
         fixed = agent.suggest(open_rows)
-        fixed = _cut(fixed.withColumn("attempts", F.col("attempts") + 1).withColumn("syntax", check_syntax(F.col("proposed_fix"), F.col("path"))))
+        fixed = cut(fixed.withColumn("attempts", F.col("attempts") + 1).withColumn("syntax", check_syntax(F.col("proposed_fix"), F.col("path"))))
         if revision == most:
             last = fixed.withColumn("accepted", F.lit(None).cast("boolean")).withColumn("feedback", F.lit(f"Maximum revisions ({most}) reached."))
             done = last if done is None else done.unionByName(last)
@@ -40,7 +35,7 @@ def run(findings: DataFrame, make: Callable[[], providers.Provider] = providers.
         language = T.language(F.col("path"))["name"]
         wrong = wrong.withColumn("feedback", F.format_string("Syntax error detected: %s. Please provide syntactically valid %s code.", F.col("syntax.error"), language))
         judged = agent.critique(fixed.where("syntax.valid")).withColumn("judged", F.col("judged") + 1)
-        both = _cut(judged.unionByName(wrong))
+        both = cut(judged.unionByName(wrong))
         accepted = both.where("accepted")
         done = accepted if done is None else done.unionByName(accepted)
         open_rows = both.where("not accepted").select(*findings.columns, "feedback", "attempts", "judged")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import prompts
+from millrace.sources.shared import cut
 
 RESPONSE_DDL = "content string, prompt_tokens long, completion_tokens long, latency_ms double, status string, provider string"
 #: Schemas of model outputs, for from_json; what does not fit is null and ``valid`` false.
@@ -171,11 +172,8 @@ def ask(df: DataFrame, prompt: Column, make: Callable[[], Provider] = Stub, syst
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Answers are made once: a reliable checkpoint where a folder is set, else the rows are kept by the caller's session."""
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.persist()
+    """Answers are made once, into the folder that all executors share, so a lost executor costs no second call."""
+    return cut(df)
 
 
 def parsed(df: DataFrame, ddl: str) -> DataFrame:
