@@ -682,9 +682,11 @@ def test_pipeline_edges(spark):
         assert kept.columns == d.columns, name
         found = {r.doc_id for r in kept.collect()}
         if name == "near_copies":
-            assert found == {FAR + 2, None, 3, 4} or found == {None, 3, 4}
+            # 7 of 9 shingles of five words are shared with the longer text: under 0.8. Of equal texts the smallest id stays.
+            assert found == {FAR + 2, None, 3, 4}
         elif name == "mixing":
-            assert found <= {FAR, FAR + 2, None, 3, 4}
+            # Targets are 30 of 16 words, 10 of 11 and 20 of 13; what has no words is never taken.
+            assert {FAR, FAR + 2, None} <= found <= {FAR, FAR + 2, None, 4}
         else:
             assert found == {FAR, FAR + 2, None, 3, 4}, name
     assert {i for r in c.pack_tokens(spark, d, DATA).collect() for i in r.doc_ids} == {FAR, FAR + 2, None, 4}
