@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.sources.shared import wide
 
 # The import forms of scripts, and the suffixes tried in order.
 SCRIPT_IMPORT = r"""(?:import\s+(?:(?:[\w*\s{},]+)\s+from\s+)?['"]([^'"]+)['"]|require\s*\(\s*['"]([^'"]+)['"]\s*\)|export\s+(?:(?:[\w*\s{},]+)\s+from\s+)?['"]([^'"]+)['"])"""
@@ -43,8 +44,8 @@ def resolve(imports: DataFrame, paths: DataFrame) -> DataFrame:
     Candidates are exploded with their priority and meet the paths in one equi-join; the first that exists wins.
     """
     tried = imports.select("src", "ord", "module", F.posexplode("candidates").alias("priority", "path"))
-    found = tried.join(paths.select("path").distinct(), "path").groupBy("src", "ord", "module").agg(F.min_by("path", "priority").alias("dst"))
-    out = imports.select("src", "ord", "module", "drop_unresolved").join(found, ["src", "ord", "module"], "left")
+    found = tried.join(wide(paths.select("path").distinct()), "path").groupBy("src", "ord", "module").agg(F.min_by("path", "priority").alias("dst"))
+    out = imports.select("src", "ord", "module", "drop_unresolved").join(wide(found), ["src", "ord", "module"], "left")
     return out.where(F.col("dst").isNotNull() | ~F.col("drop_unresolved")).drop("drop_unresolved")
 
 

@@ -42,3 +42,7 @@ def test_rollup_of_files_broadcasts_nothing(spark):
 def test_groups_broadcast_only_a_row_a_partition(spark, plan_of_stored, name):
     plans.QUERIES[name](spark, DATA)
     assert plan_of_stored["groups"] == (2, 2)
+
+
+def test_imports_broadcast_nothing(spark):
+    assert joins(plans.QUERIES["source_imports"](spark, DATA)) == (2, 0)
