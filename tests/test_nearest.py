@@ -92,3 +92,11 @@ def test_tables_index(spark, tmp_path):
     items = spark.read.parquet(f"{DATA}/embeddings.parquet")
     ix = nearest.build(items, str(tmp_path / "ix"))
     assert ix.lists == round(items.count() ** 0.5) and ix.rows().count() == items.where("embedding is not null").count()
+
+
+def test_share_is_measured_on_other_rows_than_the_first_centres(spark, tmp_path):
+    m = np.random.default_rng(5).normal(size=(1500, 24))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m.astype("f4"))], "vec_id long, embedding array<float>")
+    ix = nearest.build(rows, str(tmp_path / "ix"), lists=210, rounds=3)
+    assert abs(ix.shares[0] - nearest.measured(ix, asked=1500)[0]) < 0.06
