@@ -1,20 +1,17 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates: all pairs of vectors of a label, in pairs of bounded blocks.
 
-Each pass gives a vector the concatenated signs of its products with random directions, sorts all vectors by (label, signs) and
-compares each with its successors in a window of the same label. Vectors are centred by their label's mean first, so a cloud that
-points one way is divided too. Links that hold are united within a block of the order, so a block emits at most a link a
-vector, and then across blocks and passes. Vectors of one component are at last compared with each other in pairs of bounded
-blocks, so links between vectors that no window held together are counted too.
+Vectors of a label are dealt to parts of about ``PART`` rows, and each pair of parts is one block that one task multiplies. So every pair of
+vectors of equal labels is compared, and nothing rests on a sample. A block emits links that connect what its links connect, at most one a
+vector. Vectors of one component are at last compared with each other, in blocks of ``BLOCK``, for their numbers of links. Both take a square:
+of a label's size and of a component's. Equal vectors of one label are one vector with a multiplicity.
 
-Windows and passes grow by ``ROUNDS`` until recall is measured as ``GOAL``: ``SAMPLE`` vectors, the first by a hash of their id, are
-compared with all vectors of their label, and of the links found so (one a sample vector and batch of rows) the passes must have
-connected that share. Where no round reaches it, every label is compared in pairs of blocks, which is exact and takes the
-square of a label's size. ``exact`` asks for that at once. Counting links takes the square of a component's size, in blocks: the price
-of exact counts.
-
-The order is global: a range-partitioned sort with counted offsets, blocks of ``SPAN`` ranks, and the first rows of the next block,
-as many as the window has, as a tail. So a label that holds most rows is spread like any other. Equal vectors of one label are one
-vector with a multiplicity.
+``rounds`` asks for sorted projection passes instead, which may miss links. Each pass gives a vector the concatenated signs of its products with random
+directions, sorts all vectors by (label, signs) and compares each with its successors in a window of the same label. Vectors are centred by their
+label's mean first, so a cloud that points one way is divided too. Windows and passes grow by the given rounds until recall is measured as
+``GOAL``: ``SAMPLE`` vectors, the first by a hash of their id, are compared with all vectors of their label, and of the links found so (one a
+sample vector and batch of rows) the passes must have connected that share. Where no round reaches it, all pairs are compared. The order is
+global: a range-partitioned sort with counted offsets, blocks of ``SPAN`` ranks, and the first rows of the next block, as many as the window
+has, as a tail.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with a null label, link with nothing. Vectors of
 different lengths don't link. Cosines are in double precision. Rows with equal ids are one node. Other columns are not read; an empty table gives an
@@ -34,8 +31,8 @@ from millrace.llm.common import connected_components, cut
 from millrace.llm.mixing import ranked
 
 LEAST = 0.98
-SIGNS, SPAN, BLOCK, SEED = 48, 1024, 512, 11
-#: (passes, window) of each round; no window is larger than SPAN.
+SIGNS, SPAN, BLOCK, PART, SEED = 48, 1024, 512, 1024, 11
+#: (passes, window) of each round, where rounds are asked for; no window is larger than SPAN.
 ROUNDS = ((14, 64), (28, 256), (56, 1024))
 SAMPLE, GOAL = 1000, 0.98
 
@@ -76,6 +73,24 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the symmetric matrix ``near`` connects; at most a row less than it has."""
+    a, b, unseen = [], [], np.ones(len(near), bool)
+    for start in np.flatnonzero(near.any(1)).tolist():
+        if not unseen[start]:
+            continue
+        unseen[start], todo = False, [start]
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(near[x] & unseen)
+            unseen[new] = False
+            a.append(np.full(len(new), x))
+            b.append(new)
+            todo += new.tolist()
+    none = [np.empty(0, "i8")]
+    return np.concatenate(none + a), np.concatenate(none + b)
+
+
 def _runs(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
     """Groups of rows with equal ``columns``, which come together."""
     rest = None
@@ -140,9 +155,9 @@ def _windows(classes: DataFrame, centred: DataFrame, kind: str, least: float, pa
     return placed.mapInPandas(compare, f"a {kind}, b {kind}")
 
 
-def _block_pairs(rows: DataFrame, group: str, n: str) -> DataFrame:
-    """``rows`` of groups of ``n`` in pairs of parts of about BLOCK rows: own and other part, and the pair's number."""
-    rows = rows.withColumn("parts", F.ceil(F.col(n) / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+def _block_pairs(rows: DataFrame, group: str, n: str, size: int = BLOCK) -> DataFrame:
+    """``rows`` of groups of ``n`` in pairs of parts of about ``size`` rows: own and other part, and the pair's number."""
+    rows = rows.withColumn("parts", F.ceil(F.col(n) / size).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("part", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
     return rows.repartition(group, "part").sortWithinPartitions(group, "part")
@@ -153,11 +168,21 @@ def _all_pairs(classes: DataFrame, kind: str, least: float) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _runs(batches, ["label", "part"]):
-            m, node = unit(block["v"]), block["node"].to_numpy()
-            yield pd.DataFrame([(node[a], node[b]) for a, b in forest(len(m), *np.nonzero(np.triu(m @ m.T >= least, 1)))], columns=["a", "b"])
+            m, node, own = unit(block["v"]), block["node"].to_numpy(), block["own"].to_numpy()
+            one, other = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+            near = np.zeros((len(m), len(m)), bool)
+            # In a block of two parts only pairs across them count; pairs within a part have a block of their own.
+            near[np.ix_(one, other)] = m[one] @ m[other].T >= least
+            if len(one) < len(m):
+                near |= near.T
+            elif block["other"].iloc[0] != own[0]:
+                continue
+            np.fill_diagonal(near, False)
+            i, j = spanning(near)
+            yield pd.DataFrame({"a": node[i], "b": node[j]})
 
     sized = classes.join(cut(classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))), "label")
-    return _block_pairs(sized, "label", "n").select("label", "part", "node", "v").mapInPandas(compare, f"a {kind}, b {kind}")
+    return _block_pairs(sized, "label", "n", PART).select("label", "part", "own", "other", "node", "v").mapInPandas(compare, f"a {kind}, b {kind}")
 
 
 def _sampled_links(classes: DataFrame, kind: str, least: float) -> DataFrame:
@@ -189,9 +214,9 @@ def _recall(links: DataFrame, comps: DataFrame) -> float:
     return found / n if n else 1.0
 
 
-def connect(classes: DataFrame, kind: str, least: float, rounds: tuple[tuple[int, int], ...], exact: bool) -> DataFrame:
+def connect(classes: DataFrame, kind: str, least: float, rounds: tuple[tuple[int, int], ...] | None, exact: bool) -> DataFrame:
     """(node, component) of the links of ``classes`` (node, label, v)."""
-    if exact:
+    if exact or not rounds:
         return connected_components(_all_pairs(classes, kind, least), "a", "b")
     links = cut(_sampled_links(classes, kind, least))
     centred = classes.select("node", "label", "v").join(cut(label_means(classes)), "label")
@@ -208,7 +233,7 @@ def connect(classes: DataFrame, kind: str, least: float, rounds: tuple[tuple[int
 
 def near_duplicates(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST,
-    rounds: tuple[tuple[int, int], ...] = ROUNDS, exact: bool = False,
+    rounds: tuple[tuple[int, int], ...] | None = None, exact: bool = False,
 ) -> DataFrame:
     """id, n_links, component_id, kept."""
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))

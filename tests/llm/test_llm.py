@@ -639,6 +639,25 @@ def test_vectors_that_point_one_way_are_found_too(spark, mean):
         assert _recall(spark, rows, rounds=((1, 2),)) == 1.0 and _recall(spark, rows, exact=True) == 1.0
 
 
+@pytest.mark.parametrize("part", [1024, 100])
+def test_links_of_vectors_rest_on_no_sample(spark, monkeypatch, part):
+    # A sample of one vector says nothing of the links that windows lose.
+    monkeypatch.setattr(vector_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(vector_dedup, "PART", part, raising=False)
+    rng = np.random.default_rng(19)
+    base = rng.normal(size=(1500, 32))
+    base[:, 0] += 4 * np.sqrt(32)
+    rows = [(i, v.astype("f4").tolist(), 1) for i, v in enumerate(np.concatenate([base, base[:300] + rng.normal(size=(300, 32)) * 0.3]))]
+    assert _recall(spark, rows) == 1.0
+
+
+def test_spanning_links_connect_what_a_matrix_connects():
+    near = np.zeros((7, 7), bool)
+    for a, b in ((0, 3), (3, 5), (0, 5), (2, 6)):
+        near[a, b] = near[b, a] = True
+    assert sorted(zip(*(x.tolist() for x in vector_dedup.spanning(near)), strict=True)) == [(0, 3), (0, 5), (2, 6)]
+
+
 def _typos(rng, n, k):
     ws = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 10))) for _ in range(n)]
     line = " ".join(ws)
