@@ -6,8 +6,8 @@ the products of a word's vector with all filters are computed once per distinct
 a look-up and additions a word.
 
 The sample that the model is fitted on is bounded: at most ``SAMPLE`` labelled rows of each class, of any length, the first by a
-hash of the id, and never a held-out row. Texts are read whole, one after the other, and kept as numbers of their words, four bytes a word; a step of the
-fit takes a text in slices. A quarter of the sample is kept from training. All
+hash of the id, and never a held-out row. Executors turn their whole texts into the buckets of each word, eight bytes a word, so neither texts nor words come to the
+driver, which keeps four bytes a word and the distinct buckets; a step of the fit takes a text in slices. A quarter of the sample is kept from training. All
 labelled rows that are neither held out nor trained on are then scored whole by the executors, and histograms of their
 logits set the level that maps to a score of 0.5, and a threshold for each language. A language without rows of both classes takes
 0.5; if those rows together lack a class, the trained rows count as well. Language moves the threshold only, never the score.
@@ -89,6 +89,36 @@ class Vocabulary:
         return np.fromiter(map(self.numbers.__getitem__, words), "i4", len(words))
 
 
+def packed(text: str | None, known: dict[str, int]) -> bytes:
+    """The words of a text, 16 bits a bucket."""
+    words = (text or "").split()
+    for w in words:
+        if w not in known:
+            a, b, c, d = features(w)
+            known[w] = a | b << 16 | c << 32 | d << 48
+    return np.fromiter(map(known.__getitem__, words), "u8", len(words)).tobytes()
+
+
+def packed_texts(text: str) -> Column:
+    @F.pandas_udf("binary")
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+        for texts in batches:
+            if len(known) > TABLE_ROWS:
+                known.clear()
+            yield texts.map(lambda t: packed(t, known))
+
+    return each(text)
+
+
+def numbered(docs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Words of packed texts as numbers, and the buckets of each number."""
+    words = [np.frombuffer(d, "u8") for d in docs]
+    known = np.unique(np.concatenate([np.empty(0, "u8"), *words]))
+    table = np.stack([(known >> np.uint64(16 * k) & np.uint64(BUCKETS - 1)).astype("i4") for k in range(4)], 1)
+    return [np.searchsorted(known, w).astype("i4") for w in words], table
+
+
 def _vectors(model: Model, ids: np.ndarray) -> np.ndarray:
     e = model.embed[ids].sum(1)
     e[ids[:, 0] < 0] = 0
@@ -227,9 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # Of fixed size: 2 x sample rows of an id and a label.
     found = texts.join(F.broadcast(picked), F.col("_id") == F.col(id_col))
     rows = found.groupBy("_id", "_y").agg(F.min(F.struct("_h", "_text")).alias("_t")).select("_id", "_t._text", "_y")
-    # Texts come one partition at a time and stay as numbers of words.
-    words = Vocabulary()
-    rows = [(r[0], words(r[1]), r[2]) for r in rows.toLocalIterator()]
+    rows = [tuple(r) for r in rows.withColumn("_text", packed_texts("_text")).toLocalIterator()]
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
     y = np.array([int(r[2] > 0) for r in rows])
     if len(set(y)) < 2:
@@ -237,7 +265,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     check = np.arange(len(rows)) % 4 == 3
     if len(set(y[~check])) < 2:
         check = np.zeros(len(rows), bool)
-    model = fit_numbers([r[1] for r, c in zip(rows, check, strict=True) if not c], np.array(words.rows, "i8").reshape(-1, 4), list(y[~check]))
+    texts, table = numbered([r[1] for r, c in zip(rows, check, strict=True) if not c])
+    rows = [(r[0],) for r in rows]
+    model = fit_numbers(texts, table, list(y[~check]))
     trained = docs.sparkSession.createDataFrame([(rows[i][0],) for i in np.flatnonzero(~check)], docs.select(F.col(id_col).alias("_id")).schema)
     every = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     for used in (every.join(F.broadcast(trained), "_id", "left_anti"), every):

@@ -64,3 +64,20 @@ def test_texts_longer_than_a_slice_are_fitted_whole(monkeypatch):
     assert np.allclose(whole.filters, sliced.filters, atol=1e-3) and np.allclose(whole.out, sliced.out, atol=1e-3)
     scorer = toxicity.Scorer(toxicity.fit(texts, [i % 2 for i in range(30)]))
     assert scorer.logit("w1 w2 vile w3") > scorer.logit("w1 w2 mild w3")
+
+
+def test_no_word_comes_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, 20)) + (" vile" if i % 2 else " mild") for i in range(80)]
+    numbers, table = toxicity.numbered([toxicity.packed(t, {}) for t in [*texts, None]])
+    assert [[tuple(table[n].tolist()) for n in own] for own in numbers] == [[toxicity.features(w) for w in t.split()] for t in [*texts, ""]]
+
+    class Refused:
+        def __init__(self):
+            raise AssertionError("words of texts on the driver")
+
+    monkeypatch.setattr(toxicity, "Vocabulary", Refused)
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").selectExpr("*", "'en' AS lang")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    scorer = toxicity.Scorer(toxicity.train(docs, labels))
+    assert scorer.logit("w1 w2 vile w3") > scorer.logit("w1 w2 mild w3")
