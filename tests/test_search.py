@@ -108,3 +108,20 @@ def test_raw_addresses_come_first():
         return io.BytesIO(json.dumps({"content": "aGk="}).encode())
 
     assert code.Hosted(open_url=open_url).raw("o", "r", "a.py", "main") == "hi" and ["raw" in a for a in asked] == [True, False]
+
+
+def test_an_indexing_run_parses_a_source_once(spark, tmp_path, monkeypatch):
+    sources = [("a.py", "def f():\n    return 1\n"), ("b.py", "def g(:\n"), ("c.py", "    x = 1\n    y = 2\n"), ("d.py", " \n"), ("e.py", "    x = (\n"), ("f.txt", "text\n")]
+    rows = spark.createDataFrame(sources, "path string, source string")
+    plans = {}
+
+    def watched(df, name, store=search.stored):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return store(df, name)
+
+    monkeypatch.setattr(search, "stored", watched)
+    run = search.index_codebase(rows, search.index_table(spark, str(tmp_path / "index")))
+    checked = rows.where("path like '%.py'").select("path", search.syntax.check_syntax(F.col("source"), F.col("path")).alias("r"))
+    want = {(r.path, r.error, r.line) for r in checked.where("not r.valid and r.error <> 'empty'").select("path", "r.error", "r.line").collect()}
+    assert {(r.path, r.error, r.line) for r in run.errors.collect()} == want and {w[0] for w in want} == {"b.py", "e.py"} and run.written == 2
+    assert plans["units"].count("MapInPandas") == 1 and not any("MapInPandas" in plans[x] or "ArrowEvalPython" in plans[x] for x in plans if x not in ("units", "embedded"))

@@ -66,3 +66,7 @@ def test_many_queries_pass_over_the_items_once(spark):
     distance = np.round(1 - q @ v.T, retrieval.DIGITS)
     want = {(i, n + 1): f"i{j:03d}" for i in range(len(q)) for n, j in enumerate(np.lexsort((np.arange(len(v)), distance[i]))[:4])}
     assert {(r.qid, r["rank"]): r.iid for r in hits.collect()} == want
+
+
+def test_texts_made_from_one_file_are_parsed_in_many_tasks(spark):
+    assert code_queries._sources(spark, DATA).rdd.getNumPartitions() == code_queries._diffs(spark, DATA).rdd.getNumPartitions() == 4
